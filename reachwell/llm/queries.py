@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold a query: each has QUERIES and, where SQL can express it, ORACLE.
-MODULES = ["decontamination"]
+MODULES = ["decontamination", "packing"]
 
 QUERIES = {}
 ORACLE = {}
