@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold a query: each has QUERIES and, where SQL can express it, ORACLE.
-MODULES = ["neardup", "html", "lines", "decontamination", "packing", "toxicity", "language", "sharding"]
+MODULES = ["neardup", "html", "lines", "substrings", "decontamination", "packing", "toxicity", "language", "sharding"]
 
 QUERIES = {}
 ORACLE = {}
