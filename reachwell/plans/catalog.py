@@ -1,4 +1,6 @@
 """Named queries over the driver tables, each with the SQL that must agree with it."""
 
-QUERIES = {}
-ORACLE = {}
+from reachwell.plans import model  # noqa: F401
+from reachwell.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
