@@ -4,13 +4,14 @@ All of it is joins and sums over DataFrames. An ``id`` stands for a distinct
 content, so exact copies never meet each other here. ``buckets`` (key, id)
 come from a banded signature: ids that share a key may be alike.
 
-Links are found in two steps. First every id is compared with the least id of
-the buckets that it shares: a large group of near copies is joined by as many
-comparisons as it has members. Then the ids of buckets that still hold several
-components are compared with all that share a rare element, by the prefix
-filter: sets with a Jaccard similarity of at least ``t`` share an element among
-the first ``n - ceil(t n) + 1`` of each, in any common order. That step is
-exact, whatever the sizes of the buckets.
+Links are found in rounds. In the first ones every id is compared with a few
+ids of each of its buckets, drawn by a hash, unless they are in one component
+already: a large group of near copies is joined by a bounded number of
+comparisons for each member. Then the ids of buckets that still hold several
+components are compared with all of other components that share a rare
+element, by the prefix filter: sets with a Jaccard similarity of at least ``t``
+share an element among the first ``n - ceil(t n) + 1`` of each, in any common
+order. That step is exact, whatever the sizes of the buckets.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """Keys with more than one id, and the least of these: key, center."""
-    both = buckets.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"))
-    return checkpointed(both.where("center < last").select("key", "center"))
+    """Keys with more than one id."""
+    both = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return checkpointed(both.where("low < high").select("key"))
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
@@ -74,33 +75,53 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def rare_pairs(sets: DataFrame, component: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that the prefix filter lets through: a, b."""
+    """Pairs of different components that the prefix filter lets through: a, b.
+
+    The rows of an element's largest component never meet each other: only the
+    rows of its other components are joined with all.
+    """
     items = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
     counts = items.groupBy("item").agg(F.count("*").alias("df"))
     # An element of one set alone links nothing, but it takes a place in the prefix.
     ranked = items.join(counts, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
     length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
     prefix = ranked.select("id", "n", F.explode(F.slice("ranked", F.lit(1), length.cast("int"))).alias("x")).where("x.df > 1")
-    prefix = prefix.select("id", "n", F.col("x.item").alias("item")).join(component, "id")
+    prefix = checkpointed(prefix.select("id", "n", F.col("x.item").alias("item")).join(component, "id"))
+    by = prefix.groupBy("item", "component").agg(F.count("*").alias("c")).groupBy("item").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
+    fewer = prefix.join(by.where("parts > 1").select("item", "largest"), "item").where("component != largest")
     other = prefix.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    pairs = prefix.join(other, "item").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("of")) & near)
-    return pairs.select(F.col("id").alias("a"), "b").distinct()
+    pairs = fewer.join(other, "item").where((F.col("component") != F.col("of")) & near)
+    return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
+def drawn_pairs(members: DataFrame, n: int, seed: int) -> DataFrame:
+    """Pairs of each member (key, id, component) with ``n`` ids of its bucket that a hash draws, in other components: a, b."""
+    draws = [F.min(F.struct(F.xxhash64("key", "id", F.lit(seed + i)), "id", "component")) for i in range(n)]
+    centers = members.groupBy("key").agg(F.array(*draws).alias("c")).select("key", F.explode("c").alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.component").alias("of"))
+    pairs = members.join(centers, "key").where(F.col("component") != F.col("of"))
+    return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+
+
+#: Ids that each member is compared with in its buckets, round by round.
+DRAWS = (1, 4, 4)
 
 
 def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """Per id with a link: id, component. ``sets_of`` takes ids and returns their sets (id, items), one row each."""
-    keys = shared(buckets)
-    members = checkpointed(buckets.join(small(keys), "key").select("key", "id", "center").distinct())
-    first = members.where("id > center").groupBy("id").agg(F.min("center").alias("b")).select(F.col("id").alias("a"), "b")
+    members = checkpointed(buckets.join(small(shared(buckets)), "key").select("key", "id").distinct())
     sets = checkpointed(sets_of(members.select("id").distinct()))
-    links = checkpointed(verified(first, sets, least))
-    found = components(links)
-    of = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ids = checkpointed(of.join(mixed, "key", "left_semi").select("id", "component").distinct())
-    if open_ids.isEmpty():
-        return found
+    open_members, links, found = members.withColumn("component", F.col("id")), None, None
+    for step, n in enumerate(DRAWS):
+        more = verified(drawn_pairs(open_members, n, 10 * step), sets, least)
+        links = checkpointed(more if links is None else links.unionByName(more))
+        found = components(links)
+        # Buckets that still hold several components.
+        of = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_members = checkpointed(of.join(mixed.select("key"), "key", "left_semi"))
+        if open_members.isEmpty():
+            return found
+    open_ids = checkpointed(open_members.select("id", "component").distinct())
     own = sets.join(open_ids, "id", "left_semi")
-    more = verified(rare_pairs(own, open_ids, least), own, least)
-    return components(links.unionByName(more))
+    return components(links.unionByName(verified(rare_pairs(own, open_ids, least), own, least)))

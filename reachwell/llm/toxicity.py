@@ -7,8 +7,8 @@ frequencies are counted over all documents. The labelled examples are kept as
 an inverted index in blocks of similar examples: for each term and block the
 largest weight, and within a block the postings by term. A text's cosine with
 any example of a block is at most the sum of its weights times the block's
-maxima, so the blocks are scored in descending order of that bound until it
-falls below the k-th best cosine: the nearest examples are exact. They vote,
+maxima, and only the blocks whose bound reaches the k-th best cosine of
+the most promising one are scored: the nearest examples are exact. They vote,
 weighted by their distance, and the share of toxic votes is calibrated on the
 examples themselves, each left out of its own vote, by a monotone fit.
 
@@ -101,38 +101,45 @@ class Index:
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
         self.vectors = [r[2] for r in rows]
         n = -(-len(rows) // BLOCK)
+        doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in self.vectors])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
         self.most = np.zeros((len(self.terms), n))
-        self.postings = []
-        for b in range(n):
-            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            term = np.concatenate([t for t, _ in own])
-            doc = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
-            weight = np.concatenate([w for _, w in own])
-            order = np.lexsort((doc, term))
-            self.postings.append((term[order], doc[order], weight[order], len(own)))
-            np.maximum.at(self.most[:, b], term, weight)
+        np.maximum.at(self.most, (term, doc // BLOCK), weight)
+        order = np.lexsort((doc, term))
+        self.doc, self.weight, cuts = doc[order], weight[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        # Where each term's postings of each block begin; the last column is where the term ends.
+        self.begin = np.array([a + np.searchsorted(self.doc[a:b], np.arange(n + 1) * BLOCK) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).reshape(len(self.terms), n + 1)
+
+    def _score(self, terms: np.ndarray, weights: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Cosines with the examples of the blocks from ``low`` to before ``high``, from the terms' postings."""
+        ranges = list(zip(self.begin[terms, low].tolist(), self.begin[terms, high].tolist(), strict=True))
+        doc = np.concatenate([self.doc[a:b] for a, b in ranges]) - low * BLOCK
+        part = np.concatenate([self.weight[a:b] * w for (a, b), w in zip(ranges, weights.tolist(), strict=True)])
+        return np.bincount(doc, part, (min(high * BLOCK, len(self.vectors)) - low * BLOCK))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k best examples, all above 0; ties go to the lower number."""
+        """Numbers and cosines of the k best examples, all above 0; ties go to the lower number.
+
+        The block with the best bound gives a first k-th best cosine; only
+        blocks whose bounds reach it can hold better ones.
+        """
         bound = weights @ self.most[terms]
-        query = np.zeros(len(self.terms))
-        query[terms] = weights
-        number, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            term, doc, weight, n = self.postings[b]
-            got = np.bincount(doc, query[term] * weight, n)
-            if b * BLOCK <= skip < b * BLOCK + n:
-                got[skip - b * BLOCK] = 0
-            new = np.flatnonzero((got > 0) & (got >= least))
-            number, cosine = np.append(number, b * BLOCK + new), np.append(cosine, got[new])
-            if len(cosine) > k:
-                best = np.lexsort((number, -cosine))[:k]
-                number, cosine = number[best], cosine[best]
-                least = cosine[-1]
-        best = np.lexsort((number, -cosine))
-        return number[best], cosine[best]
+        best = int(bound.argmax())
+        got = self._score(terms, weights, best, best + 1)
+        if best == skip // BLOCK:
+            got[skip % BLOCK] = 0
+        least = np.partition(got, -k)[-k] if len(got) > k else 0.0
+        blocks = np.flatnonzero((bound >= least - 1e-9) & (bound > 0))
+        if not len(blocks):
+            return np.zeros(0, np.int64), np.zeros(0)
+        low = int(blocks[0])
+        got = self._score(terms, weights, low, int(blocks[-1]) + 1)
+        if 0 <= skip - low * BLOCK < len(got):
+            got[skip - low * BLOCK] = 0
+        new = np.flatnonzero((got > 0) & (got >= least - 1e-9))
+        order = new[np.lexsort((new, -got[new]))][:k]
+        return order + low * BLOCK, got[order]
 
     def vote(self, number: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosine, 1))
