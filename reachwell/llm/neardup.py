@@ -140,19 +140,18 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def buckets(contents: DataFrame, weights: str = "set") -> DataFrame:
-    """The bands of contents (id, text) with words: key, id."""
+def banded(contents: DataFrame, weights: str = "set") -> DataFrame:
+    """The bands of contents (id, text) with words: id, keys. Equal contents have equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, most=_BYTES):
             hashes, owner, counts = weighted_sets(*runs(*utf8(batch.column("text"))))
             own = signatures(hashes, owner, counts if weights == "count" else np.ones(len(counts)), batch.num_rows, BANDS * ROWS)
             some = np.unique(owner)
-            keys = bands(own[some])
-            ids = batch.column("id").take(pa.array(np.repeat(some, BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), ids], ["key", "id"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands(own[some]).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), keys], ["id", "keys"])
 
-    return contents.select("id", "text").mapInArrow(run, "key long, id long")
+    return contents.select("id", "text").mapInArrow(run, "id long, keys array<long>")
 
 
 def sets(contents: DataFrame, weights: str = "set") -> DataFrame:
@@ -181,7 +180,8 @@ def classes(docs: DataFrame, least: float = LEAST, weights: str = "set") -> Data
         own = small(checkpointed(own))  # one row of each content
         return sets(contents.join(own, ["id", "doc_id"]).select("id", "text"), weights).groupBy("id").agg(F.first("items").alias("items"))
 
-    found = linked(buckets(contents.where("text is not null"), weights), sets_of, least)
+    signed = banded(contents.where("text is not null"), weights).groupBy("id").agg(F.first("keys").alias("keys"))
+    found = linked(signed, sets_of, least)
     words = F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     # A text without words shares its content with no other row.
     own = docs.select("doc_id", F.xxhash64("text").alias("id"), F.coalesce(words, F.lit(False)).alias("worded"))

@@ -1,15 +1,15 @@
 """Links between sets by Jaccard similarity, and the components that links form.
 
 All of it is joins and sums over DataFrames. An ``id`` stands for a distinct
-content, so exact copies never meet each other here. ``buckets`` (key, id)
-come from a banded signature: ids that share a key may be alike.
+content, so exact copies never meet each other here. Its signature is cut into
+bands, the ``keys`` of buckets: ids that share a key may be alike.
 
 Links are found in rounds. In the first ones every id is compared with a few
 ids of each of its buckets, drawn by a hash, unless they are in one component
 already: a large group of near copies is joined by a bounded number of
-comparisons for each member. Then the ids of buckets that still hold several
-components are compared with all of other components that share a rare
-element, by the prefix filter: sets with a Jaccard similarity of at least ``t``
+comparisons for each member, and a small bucket is compared completely. Then
+the ids of buckets that still hold several components are compared with all of
+other components that share a rare element, by the prefix filter: sets with a Jaccard similarity of at least ``t``
 share an element among the first ``n - ceil(t n) + 1`` of each, in any common
 order. That step is exact, whatever the sizes of the buckets.
 """
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import checkpointed
+from reachwell.llm.common import checkpointed, written
 
 #: Rows of two numbers up to which a table is broadcast instead of shuffled.
 BROADCAST_ROWS = 400_000
@@ -33,9 +33,8 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """Keys with more than one id."""
-    both = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    return checkpointed(both.where("low < high").select("key"))
+    """Keys with more than one id; an id has a key once."""
+    return checkpointed(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
@@ -95,30 +94,41 @@ def rare_pairs(sets: DataFrame, component: DataFrame, least: float) -> DataFrame
     return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def drawn_pairs(members: DataFrame, n: int, seed: int) -> DataFrame:
-    """Pairs of each member (key, id, component) with ``n`` ids of its bucket that a hash draws, in other components: a, b."""
-    draws = [F.min(F.struct(F.xxhash64("key", "id", F.lit(seed + i)), "id", "component")) for i in range(n)]
-    centers = members.groupBy("key").agg(F.array(*draws).alias("c")).select("key", F.explode("c").alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.component").alias("of"))
+def drawn(seeds: range) -> F.Column:
+    """An aggregate: the members (id, component) of a bucket that a hash draws, one for each seed, without repetition."""
+    return F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("key", "id", F.lit(s))) for s in seeds]))
+
+
+def drawn_pairs(members: DataFrame, seeds: range) -> DataFrame:
+    """Pairs of each member (key, id, component) with the drawn ids of its bucket that are in other components: a, b."""
+    centers = members.groupBy("key").agg(drawn(seeds).alias("c")).select("key", F.explode("c").alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.component").alias("of"))
     pairs = members.join(centers, "key").where(F.col("component") != F.col("of"))
     return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
 #: Ids that each member is compared with in its buckets, round by round.
-DRAWS = (1, 4, 4)
+DRAWS = (2, 8)
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Per id with a link: id, component. ``sets_of`` takes ids and returns their sets (id, items), one row each."""
-    members = checkpointed(buckets.join(small(shared(buckets)), "key").select("key", "id").distinct())
+def linked(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Per id with a link: id, component.
+
+    ``signatures`` has an id once, with its keys; ``sets_of`` takes ids and
+    returns their sets (id, items), one row each.
+    """
+    buckets = written(signatures.select("id", "keys")).select("id", F.explode("keys").alias("key"))
+    members = checkpointed(buckets.join(small(shared(buckets)), "key").select("key", "id"))
     sets = checkpointed(sets_of(members.select("id").distinct()))
-    open_members, links, found = members.withColumn("component", F.col("id")), None, None
-    for step, n in enumerate(DRAWS):
-        more = verified(drawn_pairs(open_members, n, 10 * step), sets, least)
+    open_members, links, found, seeds = members.withColumn("component", F.col("id")), None, None, 0
+    for n in DRAWS:
+        more = verified(drawn_pairs(open_members, range(seeds, seeds + n)), sets, least)
+        seeds += n
         links = checkpointed(more if links is None else links.unionByName(more))
         found = components(links)
-        # Buckets that still hold several components.
-        of = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        # Buckets that still hold several components, unless all but one of their ids have been compared with the others.
+        of = open_members.drop("component").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), drawn(range(seeds)).alias("c"))
+        mixed = mixed.where((F.col("low") < F.col("high")) & (F.size("c") < F.col("n") - 1))
         open_members = checkpointed(of.join(mixed.select("key"), "key", "left_semi"))
         if open_members.isEmpty():
             return found
