@@ -333,7 +333,7 @@ def _weighted(b: Binding) -> DataFrame:
     return b.tracts.join(_access(b).access.select("geoid", F.round("access_scaled_math", 6).alias("x")), "geoid")
 
 
-@query("SELECT segment, " + r(*[f"min(CASE WHEN cw >= {p} THEN x END) AS q{round(100 * p)}" for p in (0.25, 0.5, 0.9)]) + " FROM cw GROUP BY 1", f"{STEPS}, {_CW}", digits=4)
+@query("SELECT segment, " + r(*[f"min(CASE WHEN cw >= {p} THEN x END) AS q{round(100 * p)}" for p in (0.25, 0.5, 0.9)], digits=4) + " FROM cw GROUP BY 1", f"{STEPS}, {_CW}", digits=4)
 def quantiles_step(b: Binding) -> DataFrame:
     return stats.quantile_step(_weighted(b), "x", "pop", [0.25, 0.5, 0.9], "segment")
 
