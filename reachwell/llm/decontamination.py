@@ -33,6 +33,8 @@ from reachwell.llm.common import blocks, table, utf8
 
 #: Bytes of benchmark text whose tables one task holds; a larger benchmark is searched in parts.
 PART_BYTES = 8 << 20
+#: Bytes of documents that a task searches for one part after another; each part's tables are loaded once for them.
+TURN_BYTES = 64 << 20
 #: Bytes of text that one lane of the search walks through.
 LANE = 2048
 #: Byte to word character (lower case), or to a space.
@@ -183,6 +185,35 @@ def searchers(benchmark: DataFrame, window: int, part_bytes: int) -> list:
     return out
 
 
+def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The blocks of the batches, some ``TURN_BYTES`` together."""
+    own: list[pa.RecordBatch] = []
+    size = 0
+    for block in blocks(batches):
+        own.append(block)
+        size += block.nbytes
+        if size >= TURN_BYTES:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def searched(batches: Iterator[pa.RecordBatch], parts: list) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each block with, per text, its number of words, the hit ranges and the items of all parts together."""
+    for own in turns(batches) if len(parts) > 1 else ([b] for b in blocks(batches)):
+        found = [[] for _ in own]
+        for part in parts:
+            searcher = part.value
+            for i, block in enumerate(own):
+                rows = searcher.search(*utf8(block.column("text")))
+                found[i] = [(n, merged(old[1] + new), list({*old[2], *items})) for old, (n, new, items) in zip(found[i], rows, strict=True)] if found[i] else rows
+            if len(parts) > 1:  # the tables of one part at a time
+                del searcher
+                vars(part).pop("_value", None)
+        yield from zip(own, found, strict=True)
+
+
 def is_contaminated(words: int, ranges: list[tuple[int, int]], one_in: int) -> bool:
     hit = sum(b - a for a, b in ranges)
     return hit > 0 and one_in * hit >= words
@@ -223,19 +254,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not contaminated; one pass without a shuffle for one part."""
-    for part in searchers(benchmark, window, part_bytes):
-        if len(part.value.groups) == 0:
-            continue
+    """The rows of ``docs``, all columns, whose text is not contaminated by the whole benchmark; one pass without a shuffle."""
+    parts = searchers(benchmark, window, part_bytes)
 
-        def clean(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            searcher = part.value
-            for batch in blocks(batches):
-                rows = searcher.search(*utf8(batch.column("text")))
-                yield batch.filter(pa.array([not is_contaminated(r[0], r[1], one_in) for r in rows]))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in searched(batches, parts):
+            yield batch.filter(pa.array([not is_contaminated(r[0], r[1], one_in) for r in rows], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
