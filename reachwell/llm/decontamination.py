@@ -48,7 +48,8 @@ _SPACE, _BREAK = np.uint8(0x20), np.uint8(0x0A)
 
 def words_of(text: str) -> list[str]:
     """The words of one text, as the search sees them."""
-    return _FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes().decode().split()
+    folded = _FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes()
+    return [w.decode() for w in folded.split(b" ") if w]  # str.split() would also cut at the white space outside ASCII
 
 
 def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

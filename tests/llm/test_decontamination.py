@@ -15,3 +15,12 @@ def test_remove_unites_the_hits_of_all_parts(spark, monkeypatch):
     for part_bytes in (40, 8 << 20):
         kept = decontamination.remove(df, benchmark, part_bytes=part_bytes)
         assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_white_space_outside_ascii_belongs_to_words(spark):
+    words = ["pourquoi\xa0?", "a\u3000b", "c\u2028d", "e\x85f", "g\u202fh", "i"]
+    text = " ".join(words)
+    assert decontamination.words_of("Pourquoi\xa0? a\u3000b") == ["pourquoi\xa0", "a\u3000b"]
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "x pourquoi a b c d e f g h i y"), (3, "A\u3000b")], "doc_id long, text string")
+    found = decontamination.report(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in found} == {1: (8, 6), 2: (12, 0), 3: (1, 0)}
