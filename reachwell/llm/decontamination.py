@@ -224,31 +224,18 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int
     """Per document: doc_id, n_words, n_hit, ranges (of hit words), items (found, sorted as strings), contaminated.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. The benchmark's
-    tables are broadcast in parts of ``part_bytes``; with more than one part,
-    the rows of a doc_id are taken for one document.
+    tables are broadcast in parts of ``part_bytes``; one pass searches for all.
     """
     parts = searchers(benchmark, window, part_bytes)
     kind = docs.schema["doc_id"].dataType
     schema = "n_words long, ranges array<struct<begin:long,end:long>>, items array<string>"
-    found = None
-    for part in parts:
 
-        def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            searcher = part.value
-            for batch in blocks(batches):
-                rows = searcher.search(*utf8(batch.column("text")))
-                ranges = pa.array([[{"begin": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), ranges, pa.array([sorted(map(str, r[2])) for r in rows], pa.list_(pa.string()))], ["doc_id", "n_words", "ranges", "items"])
-
-        own = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind.simpleString()}, {schema}")
-        found = own if found is None else found.unionByName(own)
-    if len(parts) > 1:
-
-        @F.pandas_udf("array<struct<begin:long,end:long>>")
-        def union(column):
-            return column.map(lambda rows: [{"begin": a, "end": b} for a, b in merged([(r["begin"], r["end"]) for r in rows])])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in searched(batches, parts):
+            ranges = pa.array([[{"begin": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), ranges, pa.array([sorted(map(str, r[2])) for r in rows], pa.list_(pa.string()))], ["doc_id", "n_words", "ranges", "items"])
 
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), union(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind.simpleString()}, {schema}")
     n_hit = F.expr("aggregate(ranges, 0L, (n, r) -> n + r.end - r.begin)")
     found = found.withColumn("n_hit", n_hit)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))

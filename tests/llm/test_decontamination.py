@@ -24,3 +24,14 @@ def test_white_space_outside_ascii_belongs_to_words(spark):
     docs = spark.createDataFrame([(1, f"x {text} y"), (2, "x pourquoi a b c d e f g h i y"), (3, "A\u3000b")], "doc_id long, text string")
     found = decontamination.report(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in found} == {1: (8, 6), 2: (12, 0), 3: (1, 0)}
+
+
+def test_report_has_a_row_for_each_row_with_several_parts(spark):
+    items = [(i, f"left{i} right{i}") for i in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "left1 right1 a left2 right2"), (1, "b left3 right3"), (None, "c"), (None, "left4 right4 left5 right5"), (2, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = Counter({(1, 5, 4, ("1", "2")): 1, (1, 3, 2, ("3",)): 1, (None, 1, 0, ()): 1, (None, 4, 4, ("4", "5")): 1, (2, 0, 0, ()): 1})
+    for part_bytes in (20, 8 << 20):
+        found = decontamination.report(df, benchmark, part_bytes=part_bytes).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found) == want
