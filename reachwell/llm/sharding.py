@@ -1,10 +1,13 @@
 """Sharding by balanced label propagation over links between documents.
 
-Documents are linked when their texts are equal. They begin on the shard that a
-hash of the id gives. In each round every linked document looks at how its
-group is spread over the shards, weighs each shard's share by the room that it
-has left, and asks to move to the best one; a shard admits no more than its
-quota, by a hash, small groups as a whole and large ones in parts. Documents of
+Documents are linked when their texts are equal. Groups of more than a tenth of
+a shard, of which there are at most some ten for each shard, are planned first,
+the largest ones before the others: a group goes where it fits with the least
+room left over, or fills the emptiest shards. Documents of the other groups
+begin on the shard that a hash of the id gives. In each round every one of them
+looks at how its group is spread over the shards, weighs each shard's share by
+the room that it has left, and asks to move to the best one; a shard admits no
+more than its quota, by a hash. Documents of
 a group with the same salt of the id's hash move together as a cell, so a group
 has at most ``4 * shards`` cells however many documents it has: rounds join
 and sum cells, never documents.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from reachwell.llm.common import checkpointed, table
 
 #: Rounds at most; they end when no cell moves.
-ROUNDS = 8
+ROUNDS = 32
 #: Cells of a group for each shard, and rows that one task puts in order.
 CELLS, BUCKET_ROWS = 4, 50_000
 
@@ -50,10 +53,28 @@ def ranked(rows: DataFrame, within: list[str], buckets: int) -> DataFrame:
     return rows.withColumn("own", F.row_number().over(order) - 1).join(before, [*within, "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
 
 
-def propagate(cells: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (key, salt, n, total, shard) on the shards where propagation takes them."""
+def planned(totals: list[int], sizes: list[int]) -> list[list[tuple[int, int]]]:
+    """Per group, in the order given, the shards that hold it and the rows on each; ``sizes`` has the room of the shards."""
+    room, out = list(sizes), []
+    for left in totals:
+        own = []
+        while left:
+            fits = [s for s, n in enumerate(room) if n >= left]
+            shard = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            n = min(left, room[shard])
+            own.append((shard, n))
+            room[shard] -= n
+            left -= n
+        out.append(own)
+    return out
+
+
+def propagate(cells: DataFrame, shards: int, quota: int, rounds: int = ROUNDS, taken: list[int] | None = None) -> DataFrame:
+    """Cells (key, salt, n, total, shard) on the shards where propagation takes them; ``taken`` rows of each shard are not theirs."""
     for step in range(rounds):
-        load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}  # a row for each shard
+        load = dict(enumerate(taken or [0] * shards))
+        for r in cells.groupBy("shard").agg(F.sum("n")).collect():  # a row for each shard
+            load[r[0]] += r[1]
         room = F.array(*[F.lit(max(0.0, 1 - load.get(s, 0) / quota)) for s in range(shards)])
         votes = cells.groupBy("key", "shard").agg(F.sum("n").alias("votes"))
         value = F.struct(F.col("votes") * room[F.col("shard")], "votes", F.xxhash64("key", "shard"), "shard")
@@ -84,13 +105,29 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame
     docs = checkpointed(docs)
     count = docs.count()
     buckets = count // BUCKET_ROWS + 1
-    cells = docs.where("key is not null").groupBy("key", "salt").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1")  # few cells to a key
-    cells = propagate(cells.withColumn("shard", F.pmod("salt", F.lit(shards))), shards, max(1, count // shards), rounds)
-
-    placed = docs.join(cells.select("key", "salt", "shard"), ["key", "salt"], "left")
+    quota = max(1, count // shards)
     most = [count // shards + (s < count % shards) for s in range(shards)]
     most_of = F.array(*[F.lit(n) for n in most])
+    cells = docs.where("key is not null").groupBy("key", "salt").agg(F.count("*").alias("n"))
+    cells = checkpointed(cells.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1"))  # few cells to a key
+    large = cells.where(F.col("total") * 10 > quota).select("key", "total").distinct().orderBy(F.desc("total"), "key").collect()
+    plan = planned([r["total"] for r in large], most)
+    held = [sum(n for own in plan for s, n in own if s == shard) for shard in range(shards)]
+    begins = list(range(shards)) * CELLS
+    if large and sum(most) > sum(held):  # the others begin in proportion to the room left
+        free, total = [n - h for n, h in zip(most, held, strict=True)], sum(most) - sum(held)
+        ends = [sum(free[: s + 1]) for s in range(shards)]
+        begins = [next(s for s, end in enumerate(ends) if (2 * i + 1) * total < 2 * len(begins) * end) for i in range(len(begins))]
+    begin_of = F.array(*[F.lit(s) for s in begins])
+    others = cells.where(F.col("total") * 10 <= quota).withColumn("shard", begin_of[F.col("salt")])
+    others = propagate(others, shards, quota, rounds, held)
+
+    cuts = [(r["key"], [(sum(n for _, n in own[: i + 1]), s) for i, (s, _) in enumerate(own)]) for r, own in zip(large, plan, strict=True)]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(cuts, "key binary, cuts array<struct<end:long,shard:int>>"))
+    whole = ranked(docs.join(cuts, "key"), ["key"], buckets)
+    whole = whole.withColumn("shard", F.expr("filter(cuts, c -> rank < c.end)[0].shard")).drop("cuts", "rank")
+    placed = docs.join(cuts, "key", "left_anti").join(others.select("key", "salt", "shard"), ["key", "salt"], "left")
+    placed = placed.unionByName(whole)
     linked = checkpointed(ranked(placed.where("shard is not null"), ["shard"], buckets // shards + 1))
     kept = linked.where(F.col("rank") < most_of[F.col("shard")])
     taken = {r[0]: r[1] for r in kept.groupBy("shard").count().collect()}  # a row for each shard
