@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once; bounds a Python worker's memory.
 BLOCK_BYTES = 4 << 20
@@ -36,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again; for what is too large to be kept uncompressed."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +72,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of ``taken`` equals, whatever the case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def digest(column: str) -> list[Column]:
+    """Two 64-bit hashes, h and g, that tell contents apart; null has the hashes of nothing."""
+    return [F.xxhash64(column).alias("h"), F.xxhash64(F.lit(0x5851F42D4C957F2D), column).alias("g")]

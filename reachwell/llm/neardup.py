@@ -24,16 +24,16 @@ least content that they have. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import blocks, checkpointed, mix, table, utf8
+from reachwell.llm.common import blocks, checkpointed, digest, mix, table, utf8, written
 from reachwell.llm.decontamination import spaced
-from reachwell.llm.similarity import BROADCAST_ROWS, linked, small
+from reachwell.llm.similarity import BROADCAST_ROWS, linked, small, verified
 
 #: Words of a run, and the least similarity of near duplicates.
 RUN, LEAST = 5, 0.8
@@ -141,7 +141,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def banded(contents: DataFrame, weights: str = "set") -> DataFrame:
-    """The bands of contents (id, text) with words: id, keys. Equal contents have equal rows."""
+    """The bands of the rows (text and others) with words: keys, and the other columns. Equal texts have equal keys."""
+    others = [c for c in contents.columns if c != "text"]
+    schema = ", ".join(f"{c} {contents.schema[c].dataType.simpleString()}" for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, most=_BYTES):
@@ -149,13 +151,13 @@ def banded(contents: DataFrame, weights: str = "set") -> DataFrame:
             own = signatures(hashes, owner, counts if weights == "count" else np.ones(len(counts)), batch.num_rows, BANDS * ROWS)
             some = np.unique(owner)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands(own[some]).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), keys], ["id", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in others), keys], [*others, "keys"])
 
-    return contents.select("id", "text").mapInArrow(run, "id long, keys array<long>")
+    return contents.mapInArrow(run, f"{schema}, keys array<long>")
 
 
 def sets(contents: DataFrame, weights: str = "set") -> DataFrame:
-    """Per content with words: id, items (32-bit hashes of its runs; the n-th copy of a run has its own for counts)."""
+    """Per content with words: id, items (64-bit hashes of its runs; the n-th copy of a run has its own for counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, most=_BYTES):
@@ -165,32 +167,40 @@ def sets(contents: DataFrame, weights: str = "set") -> DataFrame:
                 copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 hashes, owner = mix(np.repeat(hashes, times) + copy.astype(np.uint64)), np.repeat(owner, times)
             n = np.bincount(owner, minlength=batch.num_rows)
-            items = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            items = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), items], ["id", "items"])
 
-    return contents.select("id", "text").mapInArrow(run, "id long, items array<int>").select("id", F.array_distinct("items").alias("items"))
+    return contents.select("id", "text").mapInArrow(run, "id long, items array<long>")
 
 
 def classes(docs: DataFrame, least: float = LEAST, weights: str = "set") -> DataFrame:
     """Per doc_id: class_id (the least doc_id of its class), kept (whether it is that one)."""
-    contents = docs.select("doc_id", F.xxhash64("text").alias("id"), "text")
+    contents = docs.select("doc_id", *digest("text"), "text")
+    some = contents.where("text is not null")
+    signed = banded(some, weights).groupBy("h", "g").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
+    signed = written(signed.withColumn("id", F.monotonically_increasing_id()))  # numbers contents once and for all
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = contents.where("text is not null").join(small(checkpointed(ids)), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-        own = small(checkpointed(own))  # one row of each content
-        return sets(contents.join(own, ["id", "doc_id"]).select("id", "text"), weights).groupBy("id").agg(F.first("items").alias("items"))
+        own = checkpointed(signed.select("h", "g", "doc_id", "id").join(small(checkpointed(ids)), "id"))
+        return sets(some.join(small(own), ["h", "g", "doc_id"]).select("id", "text"), weights).groupBy("id").agg(F.first("items").alias("items"))  # one row of each content
 
-    signed = banded(contents.where("text is not null"), weights).groupBy("id").agg(F.first("keys").alias("keys"))
-    found = linked(signed, sets_of, least)
+    def verify(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        own = written(sets_of(ids))
+        return lambda pairs: verified(pairs, own, least)
+
+    found = small(linked(signed, verify, sets_of, least))
+    ids = signed.select("h", "g", "id")
+    roots = ids.join(found, "id").join(ids.select(F.col("id").alias("component"), F.col("h").alias("root_h"), F.col("g").alias("root_g")).join(small(checkpointed(found.select("component").distinct())), "component", "left_semi"), "component")
+    roots = checkpointed(roots.select("h", "g", "root_h", "root_g"))
     words = F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     # A text without words shares its content with no other row.
-    own = docs.select("doc_id", F.xxhash64("text").alias("id"), F.coalesce(words, F.lit(False)).alias("worded"))
-    own = own.groupBy("doc_id").agg(F.min(F.when(F.col("worded"), F.col("id"))).alias("id"))
-    worded = own.where("id is not null").join(small(found), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    worded = checkpointed(worded)
-    least_id = checkpointed(worded.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    worded = worded.join(small(least_id), "component", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    alone = own.where("id is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    own = contents.select("doc_id", F.when(F.coalesce(words, F.lit(False)), F.struct("h", "g")).alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
+    own = own.select("doc_id", "c.h", "c.g")
+    worded = own.where("h is not null").join(small(roots), ["h", "g"], "left")
+    worded = checkpointed(worded.select("doc_id", F.coalesce("root_h", "h").alias("h"), F.coalesce("root_g", "g").alias("g")))
+    least_id = checkpointed(worded.groupBy("h", "g").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    worded = worded.join(small(least_id), ["h", "g"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    alone = own.where("h is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return worded.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 

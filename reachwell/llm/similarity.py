@@ -5,13 +5,15 @@ content, so exact copies never meet each other here. Its signature is cut into
 bands, the ``keys`` of buckets: ids that share a key may be alike.
 
 Links are found in rounds. In the first ones every id is compared with a few
-ids of each of its buckets, drawn by a hash, unless they are in one component
-already: a large group of near copies is joined by a bounded number of
-comparisons for each member, and a small bucket is compared completely. Then
-the ids of buckets that still hold several components are compared with all of
-other components that share a rare element, by the prefix filter: sets with a Jaccard similarity of at least ``t``
-share an element among the first ``n - ceil(t n) + 1`` of each, in any common
-order. That step is exact, whatever the sizes of the buckets.
+ids of each of its buckets, unless they are in one component already. A hash of
+the id alone draws them, so buckets with much the same ids draw the same ones,
+and a group of near copies that meets in many bands costs few comparisons for
+each member; a small bucket is compared completely. Then the ids of buckets
+that still hold several components are compared with all of other components by
+the prefix filter: sets with a Jaccard similarity of at least ``t`` share an
+element among the first ``n - ceil(t n) + 1`` of each, in any common order (rare
+ones first), and the places of the first one that they share bound how many they
+can share in all. That step is exact, whatever the sizes of the buckets.
 """
 
 from __future__ import annotations
@@ -77,32 +79,39 @@ def rare_pairs(sets: DataFrame, component: DataFrame, least: float) -> DataFrame
     """Pairs of different components that the prefix filter lets through: a, b.
 
     The rows of an element's largest component never meet each other: only the
-    rows of its other components are joined with all.
+    rows of its other components are joined with all. From the first element
+    that two sets share, at the places i and j, they share at most
+    ``min(n - i, m - j)``; the rows of later ones bound no less strictly.
     """
     items = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("df"))
-    # An element of one set alone links nothing, but it takes a place in the prefix.
-    ranked = items.join(counts, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    # An element of one set alone links nothing, but it takes a place in the prefix: before all others.
+    counts = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    order = F.shiftleft(F.least("df", F.lit(1 << 14)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("item", 16))
     length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("ranked", F.lit(1), length.cast("int"))).alias("x")).where("x.df > 1")
-    prefix = checkpointed(prefix.select("id", "n", F.col("x.item").alias("item")).join(component, "id"))
+    ranked = items.join(counts, "item").select("id", "n", order.alias("item")).groupBy("id", "n").agg(F.collect_list("item").alias("items"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("items")).withColumn("length", (length - F.col("alone")).cast("int")).where("length > 0")
+    prefix = ranked.select("id", "n", "alone", F.posexplode(F.slice(F.sort_array("items"), F.lit(1), F.col("length"))).alias("i", "item")).withColumn("i", F.col("i") + F.col("alone"))
+    prefix = written(prefix.select("id", "n", "i", "item").join(small(component), "id"))
     by = prefix.groupBy("item", "component").agg(F.count("*").alias("c")).groupBy("item").agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
     fewer = prefix.join(by.where("parts > 1").select("item", "largest"), "item").where("component != largest")
-    other = prefix.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-    near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    pairs = fewer.join(other, "item").where((F.col("component") != F.col("of")) & near)
+    other = prefix.select("item", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("of"))
+    share = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    enough = share >= F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = fewer.join(other, "item").where((F.col("component") != F.col("of")) & enough)
     return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
-def drawn(seeds: range) -> F.Column:
-    """An aggregate: the members (id, component) of a bucket that a hash draws, one for each seed, without repetition."""
-    return F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("key", "id", F.lit(s))) for s in seeds]))
+def drawn(seeds: range) -> list[F.Column]:
+    """Aggregates: the members of a bucket that a hash draws, one for each seed, and their components."""
+    order = [F.xxhash64("id", F.lit(s)) for s in seeds]
+    return [F.array(*[F.min_by("id", h) for h in order]).alias("ids"), F.array(*[F.min_by("component", h) for h in order]).alias("components")]
 
 
 def drawn_pairs(members: DataFrame, seeds: range) -> DataFrame:
     """Pairs of each member (key, id, component) with the drawn ids of its bucket that are in other components: a, b."""
-    centers = members.groupBy("key").agg(drawn(seeds).alias("c")).select("key", F.explode("c").alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.component").alias("of"))
-    pairs = members.join(centers, "key").where(F.col("component") != F.col("of"))
+    centers = members.groupBy("key").agg(*drawn(seeds)).select("key", F.explode(F.array_distinct(F.arrays_zip("ids", "components"))).alias("c"))
+    centers = checkpointed(centers.select("key", F.col("c.ids").alias("b"), F.col("c.components").alias("of")))
+    pairs = members.join(small(centers), "key").where(F.col("component") != F.col("of"))
     return pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
@@ -110,28 +119,29 @@ def drawn_pairs(members: DataFrame, seeds: range) -> DataFrame:
 DRAWS = (2, 8)
 
 
-def linked(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+def linked(signatures: DataFrame, verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sets_of: Callable[[DataFrame], DataFrame], least: float, draws: tuple[int, ...] = DRAWS) -> DataFrame:
     """Per id with a link: id, component.
 
-    ``signatures`` has an id once, with its keys; ``sets_of`` takes ids and
-    returns their sets (id, items), one row each.
+    ``signatures`` has an id once, with its keys. ``verify`` takes the ids that
+    have candidates and returns a function that keeps the linked ones of pairs
+    (a, b) of them; ``sets_of`` takes ids and returns their sets (id, items).
     """
-    buckets = written(signatures.select("id", "keys")).select("id", F.explode("keys").alias("key"))
+    buckets = signatures.select("id", F.explode("keys").alias("key"))
     members = checkpointed(buckets.join(small(shared(buckets)), "key").select("key", "id"))
-    sets = checkpointed(sets_of(members.select("id").distinct()))
+    verified = verify(members.select("id").distinct())
     open_members, links, found, seeds = members.withColumn("component", F.col("id")), None, None, 0
-    for n in DRAWS:
-        more = verified(drawn_pairs(open_members, range(seeds, seeds + n)), sets, least)
+    for n in draws:
+        more = verified(drawn_pairs(open_members, range(seeds, seeds + n)))
         seeds += n
         links = checkpointed(more if links is None else links.unionByName(more))
         found = components(links)
         # Buckets that still hold several components, unless all but one of their ids have been compared with the others.
-        of = open_members.drop("component").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), drawn(range(seeds)).alias("c"))
-        mixed = mixed.where((F.col("low") < F.col("high")) & (F.size("c") < F.col("n") - 1))
-        open_members = checkpointed(of.join(mixed.select("key"), "key", "left_semi"))
+        of = open_members.drop("component").join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *drawn(range(seeds)))
+        mixed = checkpointed(mixed.where((F.col("low") < F.col("high")) & (F.size(F.array_distinct("ids")) < F.col("n") - 1)).select("key"))
+        open_members = checkpointed(of.join(small(mixed), "key", "left_semi"))
         if open_members.isEmpty():
             return found
     open_ids = checkpointed(open_members.select("id", "component").distinct())
-    own = sets.join(open_ids, "id", "left_semi")
-    return components(links.unionByName(verified(rare_pairs(own, open_ids, least), own, least)))
+    pairs = checkpointed(rare_pairs(sets_of(open_ids.select("id")), open_ids, least))
+    return components(links.unionByName(verified(pairs)))
