@@ -28,10 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of a few numbers each that one task reads of a checkpointed table.
+TASK_ROWS = 50_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, its lineage cut."""
+    """``df`` checkpointed in the shared folder, its lineage cut; for rows of a few numbers. Small tables get few partitions.
+
+    The count that this takes is kept for :func:`rows_of`.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    df = df.checkpoint()
+    rows = df.count()
+    df = df.coalesce(rows // TASK_ROWS + 1)  # never more than there are
+    df.counted = rows
+    return df
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, counted once for a checkpointed table."""
+    return df.counted if hasattr(df, "counted") else df.count()
 
 
 def written(df: DataFrame) -> DataFrame:

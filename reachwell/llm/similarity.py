@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import checkpointed, written
+from reachwell.llm.common import checkpointed, rows_of, written
 
 #: Rows of two numbers up to which a table is broadcast instead of shuffled.
 BROADCAST_ROWS = 400_000
@@ -31,7 +31,7 @@ BROADCAST_ROWS = 400_000
 
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows. For checkpointed tables of a few numbers a row."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows_of(df) <= BROADCAST_ROWS else df
 
 
 def shared(buckets: DataFrame) -> DataFrame:
@@ -54,10 +54,10 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         after = large.join(least, "u")
         after = after.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
-        after = checkpointed(after)
-        parents, roots = after.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0], after.select("v").distinct().join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-        edges = after
-        if parents in (None, 1) and roots:
+        edges = checkpointed(after)
+        # Settled when every id points once, at one that points nowhere.
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if twice.unionByName(edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u"))).isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
@@ -140,7 +140,7 @@ def linked(signatures: DataFrame, verify: Callable[[DataFrame], Callable[[DataFr
         mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *drawn(range(seeds)))
         mixed = checkpointed(mixed.where((F.col("low") < F.col("high")) & (F.size(F.array_distinct("ids")) < F.col("n") - 1)).select("key"))
         open_members = checkpointed(of.join(small(mixed), "key", "left_semi"))
-        if open_members.isEmpty():
+        if not rows_of(open_members):
             return found
     open_ids = checkpointed(open_members.select("id", "component").distinct())
     pairs = checkpointed(rare_pairs(sets_of(open_ids.select("id")), open_ids, least))
