@@ -7,10 +7,13 @@ to the cell of its nearest pivot. By the triangle inequality a vector can only
 have a neighbour in another cell if its distance to that cell's pivot is at
 most the distance to its own plus ``2r``; to those cells of a lower number it
 is copied as well, so each pair of cells meets once and each cell is joined on
-its own. A cell is dealt into blocks of a bounded size and the blocks are
-joined by pairs; matrix products in single precision leave only the borderline
-pairs to be decided in double precision. A task returns counts and, instead of
-pairs, the components that its pairs form.
+its own. As many pivots are used as make the least work on a part of the sample
+that none is chosen from: vectors in many directions at much the same distances
+leave the triangle inequality little to exclude, and copies would cost more than
+they save. A cell is dealt into blocks of a bounded size and the blocks are
+joined by pairs, strip by strip; matrix products in single precision leave only
+the borderline pairs to be decided in double precision. A task returns counts
+and, instead of pairs, the components that its pairs form.
 
 The result is exact, whatever the pivots; they only decide how much is copied.
 
@@ -19,7 +22,7 @@ Equal vectors are one content from the start and count as linked to each other.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are kept. Vectors of different lengths link
 with nothing. Each row is a vector, repeated ids included; equal rows are
-linked. Other columns are ignored.
+linked, by a digest of 128 bits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,34 +31,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import checkpointed, table
+from reachwell.llm.common import checkpointed, digest, table
 from reachwell.llm.similarity import components
 
 #: Vectors that pivots are chosen from, vectors for each pivot, and pivots at most.
 SAMPLE, EACH, PIVOTS = 2048, 4096, 256
-#: Vectors of a block; a task joins two blocks.
-BLOCK = 4096
+#: Vectors of a block (a task joins two blocks), and rows of one that meet the other at once.
+BLOCK, STRIP = 16384, 512
 LEAST = 0.9
 
 
 def units(column: pa.Array) -> np.ndarray:
-    """Rows of length one, in double precision, of vectors of equal length."""
-    x = np.array(column.to_pylist(), np.float64)
+    """Rows of length one, in double precision, of vectors of equal length without nulls."""
+    x = np.array(column.flatten(), np.float64).reshape(len(column), -1)
     x /= np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose(sample: np.ndarray, n: int) -> np.ndarray:
-    """``n`` rows of the sample, each the farthest from the ones before."""
+def away(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The distances of the rows of ``x`` from the pivots."""
+    return np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+
+
+def cells(distance: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own cell, and which cells it is sent to."""
+    own = distance.argmin(1)
+    rows = np.arange(len(own))
+    reach = distance <= distance[rows, own][:, None] + 2 * radius + 1e-9
+    reach &= np.arange(distance.shape[1])[None] < own[:, None]
+    reach[rows, own] = True
+    return own, reach
+
+
+def choose(sample: np.ndarray, most: int, radius: float) -> np.ndarray:
+    """Some of the sample's first half, each the farthest from the ones before: as many as compare the second half with least work."""
+    half = max(1, len(sample) // 2)
+    first, rest = sample[:half], sample[half:]
     chosen = [0]
-    away = 2 - 2 * sample @ sample[0]
-    while len(chosen) < min(n, len(sample)):
-        chosen.append(int(away.argmax()))
-        away = np.minimum(away, 2 - 2 * sample @ sample[chosen[-1]])
-    return sample[chosen]
+    gap = 2 - 2 * first @ first[0]
+    while len(chosen) < min(most, half):
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, 2 - 2 * first @ first[chosen[-1]])
+    distance = away(rest, first[chosen])
+    best, least = 1, float(len(rest)) ** 2
+    for n in sorted({2**k for k in range(1, 30) if 2**k <= len(chosen)} | {len(chosen)} - {1}):
+        own, reach = cells(distance[:, :n], radius)
+        homes = np.bincount(own, minlength=n)
+        work = float(homes @ (2 * reach.sum(0) - homes))  # the homes with each other, and twice with the guests
+        if (work, n) < (0.9 * least if best == 1 else least, best):
+            best, least = n, work
+    return first[chosen[:best]]
+
+
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Brings the components of linked rows together; ``root`` points every row at the least one of its component."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(shorter := root[root], root):
+            root[:] = shorter
 
 
 def join(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,46 +106,40 @@ def join(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, least:
     ``n_x`` and ``n_y`` are how many vectors each row stands for. A component
     is the least row number (y after x) that the links reach, or the row itself.
     """
-    near = x.astype(np.float32) @ y.astype(np.float32).T
     margin = 2e-7 * x.shape[1] + 1e-6
-    link = near >= least
-    i, j = np.nonzero(np.abs(near - np.float32(least)) <= margin)
-    for at in range(0, len(i), 65536):
-        a, b = i[at : at + 65536], j[at : at + 65536]
-        link[a, b] = (x[a] * y[b]).sum(1) >= least
+    far = 0 if same else len(x)
+    root = np.arange(far + len(y))
+    count_x, count_y = np.zeros(len(x)), np.zeros(len(y))
+    x32, y32 = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    for at in range(0, len(x), STRIP):
+        low = at if same else 0
+        near = x32[at : at + STRIP] @ y32[:, low:]
+        i, j = np.nonzero(near >= least - margin)
+        sure = near[i, j] > least + margin
+        i, j = i + at, j + low
+        for k in range(0, len(i), 65536):
+            some = k + np.flatnonzero(~sure[k : k + 65536])
+            sure[some] = (x[i[some]] * y[j[some]]).sum(1) >= least
+        if same:
+            sure &= i < j
+        i, j = i[sure], j[sure]
+        count_x += np.bincount(i, n_y[j], len(x))
+        count_y += np.bincount(j, n_x[i], len(y))
+        unite(root, i, j + far)
     if same:
-        np.fill_diagonal(link, False)
-    count_x, count_y = link @ n_y, n_x @ link
-    rows, columns = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
-    own_x, own_y = np.arange(len(x)), np.arange(len(y)) + (0 if same else len(x))
-    if len(rows):
-        part = link[np.ix_(rows, columns)]
-        label_x, label_y = own_x[rows], own_y[columns]
-        far = len(x) + len(y)
-        while True:
-            new_x = np.minimum(label_x, np.where(part, label_y[None], far).min(1))
-            new_y = np.minimum(label_y, np.where(part, new_x[:, None], far).min(0))
-            if same:  # rows and columns are the same vectors
-                both = np.full(len(x), far)
-                both[rows] = new_x
-                both[columns] = np.minimum(both[columns], new_y)
-                new_x, new_y = both[rows], both[columns]
-            if (new_x == label_x).all() and (new_y == label_y).all():
-                break
-            label_x, label_y = new_x, new_y
-        own_x[rows], own_y[columns] = label_x, label_y
-    return count_x, count_y, own_x, own_y
+        count_x = count_y = count_x + count_y
+    return count_x, count_y, root[: len(x)], root[far:]
 
 
 def links(reps: DataFrame, least: float = LEAST) -> DataFrame:
     """From distinct vectors (id, n, embedding): partial rows of id, links (vectors linked), root (an id that is reached)."""
     count = reps.count()
     n_pivots = int(min(PIVOTS, max(1, count // EACH)))
+    radius = np.sqrt(max(0.0, 2 - 2 * least))
     drawn = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    lengths = np.array([len(v) for v in drawn.to_pylist()]) if len(drawn) else np.zeros(0, int)
-    pivots = {int(d): choose(units(drawn.filter(pa.array(lengths == d))), n_pivots) for d in np.unique(lengths)}
+    lengths = np.array(pc.list_value_length(drawn))
+    pivots = {int(d): choose(units(drawn.filter(pa.array(lengths == d))), n_pivots, radius) for d in np.unique(lengths)}
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
-    radius = np.sqrt(max(0.0, 2 - 2 * least))
     kind = reps.schema["id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +152,14 @@ def links(reps: DataFrame, least: float = LEAST) -> DataFrame:
                     rows, cell = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
                     home = cell
                 else:
-                    away = np.sqrt(np.maximum(0, 2 - 2 * units(batch.column("embedding")) @ p.T))
-                    own = away.argmin(1)
-                    reach = away <= away[np.arange(len(own)), own][:, None] + 2 * radius + 1e-9
-                    reach &= np.arange(len(p))[None] < own[:, None]
-                    reach[np.arange(len(own)), own] = True
+                    own, reach = cells(away(units(batch.column("embedding")), p), radius)
                     rows, cell = np.nonzero(reach)
                     home = own[rows]
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "n", "embedding", "size")), pa.array(cell.astype(np.int32)), pa.array(cell == home)], ["id", "n", "embedding", "size", "cell", "home"])
 
-    placed = reps.select("id", "n", "embedding", F.size("embedding").alias("size")).mapInArrow(place, f"id {kind}, n long, embedding array<double>, size int, cell int, home boolean")
+    vector = reps.schema["embedding"].dataType.simpleString()
+    placed = reps.select("id", "n", "embedding", F.size("embedding").alias("size")).mapInArrow(place, f"id {kind}, n long, embedding {vector}, size int, cell int, home boolean")
     # Each cell's rows are dealt into blocks, and a block is sent to every block that it meets.
     sums = F.broadcast(checkpointed(placed.groupBy("size", "cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.sum((~F.col("home")).cast("long")).alias("guests"))))  # a row for each pivot
     dealt = placed.join(sums, ["size", "cell"])
@@ -164,12 +197,13 @@ def links(reps: DataFrame, least: float = LEAST) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    e = F.col("embedding").cast("array<double>")
+    e = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select("vec_id", e.alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     # Adding zero makes the negative zero equal to zero.
-    plain = F.transform("embedding", lambda v: v + F.lit(0.0))
-    rows = rows.select("vec_id", "embedding", "fine", F.when(F.col("fine"), F.xxhash64(plain)).alias("h"), F.when(F.col("fine"), F.hash(plain)).alias("g"))
+    plain = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))
+    rows = rows.select("vec_id", "embedding", "fine", F.when(F.col("fine"), plain).alias("plain"))
+    rows = rows.select("vec_id", "embedding", "fine", *[F.when(F.col("fine"), d).alias(name) for d, name in zip(digest("plain"), "hg", strict=True)])
     reps = checkpointed(rows.where("fine").groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     found = checkpointed(links(reps.select("id", "n", "embedding"), least))
     component = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
