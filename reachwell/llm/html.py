@@ -3,25 +3,32 @@
 A page is cut into blocks of text, each with the chain of containers around it.
 Containers get the length of the text below them that is not in links, the
 nearer the more, an article or main element the most. Each page votes for the
-generalised path (tags and classes, digits folded) of its best container; the
+generalised path (tags and classes, digits folded; kept as a digest, however
+deep) of its best container, widened to the containers around it as long as
+they add text that is not mostly links, up to an article or main element. The
 votes are summed by host and path in Spark, and a page's text is then taken
-from the most voted path of its host that it has. A page that has none of them
+from the most voted path of its host that it has, widened in the same way, so an
+article in several sibling containers is whole. A page that has none of them
 keeps its own best container, and a page without containers all its blocks.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out wherever they stand; they are
-known by their tags, roles and words in class and id. Character references are
+known by their tags, roles and names: a class or id counts if it is made of such
+words and of words for layout alone, so "comment-list" does and "social-history"
+does not. Character references are
 decoded, white space within a block becomes one space, blocks are trimmed and
 joined by one space.
 
 Defined cases: null and empty pages give an empty text. A null or odd url has
 the empty host, whose pages vote together. Broken markup is read as browsers
-do: tags left open end with their parent, an unfinished tag at the end is
-dropped. Repeated rows are extracted each. Other columns are ignored.
+do: tags left open end with their parent, a drawing (svg) left open ends at the
+next element of text, a script, style or text field left open takes the rest, an
+unfinished tag at the end is dropped. Ties of votes go to the first path in order. Repeated rows are extracted each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,18 +51,22 @@ _TOKEN = re.compile(r"[a-z]+|\d+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math noscript q s samp small span svg template strike strong sub sup time tt u var".split())
 CONTAINERS = frozenset("html body div article section main td table tbody tr center blockquote".split())
 #: Elements that a start tag of the same set ends, when no container has been opened since.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Left out by tag; a header within an article or main element belongs to it.
-LEFT_OUT = frozenset("head nav footer aside form button select option datalist dialog menu object audio video canvas header".split())
+LEFT_OUT = frozenset("head nav footer aside form button select option datalist dialog menu object audio video canvas header noscript template svg math".split())
+#: Elements of text that end a drawing left open.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre s small span strong sub sup table tt u ul var article section main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Left out by a word of class or id: always, or unless a word says that it is the content.
 ALWAYS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond reply replies disqus cookie cookies consent gdpr newsletter subscribe share sharing social related breadcrumb breadcrumbs pagination pager menu nav navbar navigation".split())
 UNLESS = frozenset("header footer sidebar side aside rail masthead topbar toolbar notice notices alert banner popup modal overlay promo promotion promoted search login signup widget widgets recommended recommendations disclaimer".split())
 CONTENT = frozenset("content main article post entry story body text".split())
+#: Words for layout, which say nothing of what an element holds.
+LAYOUT = frozenset("area bar block bottom box button buttons col column container count feed form group head icon icons inner item items left link links list main module outer page panel right row section site slot title top unit wrap wrapper zone js".split())
 
 
 def host_of(url: str | None) -> str:
@@ -70,7 +81,13 @@ class Page:
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []
         self.paths: list[str] = []
         self.articles: set[int] = set()
+        self.above: list[int] = []
         self._read(html or "")
+        self.sums = [[0, 0] for _ in self.paths]  # letters of each container's text, and those in links
+        for chain, block, linked in self.blocks:
+            for c in chain:
+                self.sums[c][0] += len(block)
+                self.sums[c][1] += linked
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, bool]] = []  # tag, container or -1, whether it is left out
@@ -116,6 +133,8 @@ class Page:
                 if tag not in INLINE:
                     flush()
                 continue
+            if tag in BREAKS and any(t == "svg" for t, _, _ in stack) and not any(t == "foreignobject" for t, _, _ in stack):
+                close({"svg"})
             if tag not in INLINE:
                 flush()
                 if stack and stack[-1][0] == "head" and tag not in VOID | RAW:
@@ -132,9 +151,11 @@ class Page:
             container = -1
             if tag in CONTAINERS and not out:
                 container = len(self.paths)
-                above = next((self.paths[c] for _, c, _ in reversed(stack) if c >= 0), "")
+                around = next((c for _, c, _ in reversed(stack) if c >= 0), -1)
+                self.above.append(around)
+                above = self.paths[around] if around >= 0 else ""
                 own = ".".join([tag, *sorted(re.sub(r"\d+", "9", w) for w in attributes.get("class", "").lower().split())[:2]])
-                self.paths.append(f"{above}>{own}"[-400:])
+                self.paths.append(hashlib.blake2b(f"{above}>{own}".encode("utf-8", "replace"), digest_size=12).hexdigest())
                 if tag in ("article", "main"):
                     self.articles.add(container)
             if not found[3].endswith("/") or tag in CONTAINERS:
@@ -154,33 +175,49 @@ class Page:
             return True
         if "display:none" in attributes.get("style", "").replace(" ", "").lower():
             return True
-        named = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
-        words = set(_TOKEN.findall(named))
+        named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attributes.get('class') or ''} {attributes.get('id') or ''}").lower()
+        names = [set(_TOKEN.findall(name)) for name in named.split()]
         if tag in ("article", "main"):
-            return bool(words & {"comment", "comments", "ad", "ads", "advert", "sponsored"})
-        return bool(words & ALWAYS) or bool(words & UNLESS) and not words & CONTENT
-
-    def best(self) -> tuple[str, float]:
-        """The path of the best container and its share of the page's scores."""
-        scores: dict[str, float] = defaultdict(float)
+            return any(words & {"comment", "comments", "ad", "ads", "advert", "sponsored"} for words in names)
+        content = any(words & CONTENT for words in names)
+        for words in names:
+            plain = {w for w in words if not w.isdigit()} - LAYOUT
+            if plain & ALWAYS and plain <= ALWAYS | UNLESS | CONTENT or plain & UNLESS and plain <= ALWAYS | UNLESS and not content:
+                return True
+        return False
+
+    def widened(self, container: int) -> int:
+        """The container around this one, as far as it adds text that is not mostly links; an article or main element is not left."""
+        while container not in self.articles and (above := self.above[container]) >= 0:
+            n, linked = self.sums[above][0] - self.sums[container][0], self.sums[above][1] - self.sums[container][1]
+            if n and 2 * linked >= n:
+                break
+            container = above
+        return container
+
+    def best(self) -> tuple[int, float]:
+        """The best container, widened, or -1, and its share of the page's scores."""
+        scores: dict[int, float] = defaultdict(float)
         for chain, block, linked in self.blocks:
             n = max(0, len(block) - 2 * linked)
             for depth, c in enumerate(reversed(chain[-3:])):
-                scores[self.paths[c]] += n * 0.5**depth
+                scores[c] += n * 0.5**depth
             article = next((c for c in chain if c in self.articles), None)
             if article is not None:
-                scores[self.paths[article]] += 2 * n
+                scores[article] += 2 * n
         if not scores:
-            return "", 0.0
-        path = max(sorted(scores), key=scores.get)
-        return path, scores[path] / (sum(scores.values()) or 1)
+            return -1, 0.0
+        best = max(sorted(scores), key=scores.get)
+        share = scores[best] / (sum(scores.values()) or 1)
+        return self.widened(best), share
 
     def text(self, paths: list[str]) -> str:
         """The text below the first of the paths that has any."""
-        for path in [*paths, self.best()[0]]:
-            own = {c for c, p in enumerate(self.paths) if p == path}
-            if own and (found := [block for chain, block, _ in self.blocks if not own.isdisjoint(chain)]):
-                return " ".join(found)
+        best = self.best()[0]
+        for path in [*paths, self.paths[best] if best >= 0 else ""]:
+            own = {self.widened(c) for c, p in enumerate(self.paths) if p == path and self.sums[c][0]}
+            if own:
+                return " ".join(block for chain, block, _ in self.blocks if not own.isdisjoint(chain))
         return " ".join(block for _, block, _ in self.blocks)
 
 
@@ -191,9 +228,10 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in blocks(batches, "html"):
             found: dict[tuple[str, str], float] = defaultdict(float)
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                path, share = Page(html).best()
-                if path:
-                    found[host_of(url), path] += share
+                page = Page(html)
+                best, share = page.best()
+                if best >= 0:
+                    found[host_of(url), page.paths[best]] += share
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.float64())], ["host", "path", "share"])
 
     sums = pages.select("url", "html").mapInArrow(vote, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
