@@ -1,20 +1,25 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 A text's terms are its lower-case words and the first four and five letters of
-longer ones. The vector space has the terms that go with the label in a bounded
-sample of labelled documents (by a chi-square test); their inverse document
-frequencies are counted over all documents. The labelled examples are kept as
+longer ones; a run of letters too long for a word is taken as text without
+spaces, and each run of four of its letters is a term. The vector space has all
+the terms that go with the label in a bounded sample of labelled documents (by a
+chi-square test): that choice is part of the fitted classifier, and a text's
+cosine is exact in that space. The terms' inverse document frequencies are
+counted over all documents. The labelled examples are kept as
 an inverted index in blocks of similar examples: for each term and block the
 largest weight, and within a block the postings by term. A text's cosine with
 any example of a block is at most the sum of its weights times the block's
-maxima, and only the blocks whose bound reaches the k-th best cosine of
-the most promising one are scored: the nearest examples are exact. They vote,
+maxima. Blocks are scored best bound first, until the bounds that are left fall
+below the k-th best cosine so far: the nearest examples are exact. They vote,
 weighted by their distance, and the share of toxic votes is calibrated on the
 examples themselves, each left out of its own vote, by a monotone fit.
 
 Defined cases: a text without any term of the space (null and empty ones too)
-has the share of toxic labels among such examples. Without labelled rows every
-score is 0. An example labelled twice is toxic if one of its labels is. Every
+has the share of toxic labels among such examples. A document that was learnt
+from is its own nearest example, so its label has a part in its score; only
+held-out documents tell how good the scores are. Of rows that share a doc_id one
+is learnt from. Without labelled rows every score is 0. An example labelled twice is toxic if one of its labels is. Every
 row of the documents gets a row, repeated ids included. Labels, and columns
 other than the text, are never inputs of a score.
 """
@@ -36,8 +41,8 @@ from reachwell.llm.language import held_out
 
 #: Labelled documents that are drawn, by a hash of the id, for terms and examples.
 SAMPLE = 20_000
-#: Terms of the space at most; those of the strongest association are taken.
-TERMS = 512
+#: Letters of a word at most; longer runs are taken as text without spaces.
+LONG = 40
 #: Least chi-square of a term's association with the label, and least number of examples with it.
 LEAST_CHI2, LEAST_DF = 24.0, 5
 #: Votes, examples in a block, and supporting examples that are returned.
@@ -47,8 +52,9 @@ _CACHED = 200_000
 
 
 def stems(word: str) -> list[str]:
-    """A word's terms: itself and, marked by an asterisk, its first letters."""
-    word = word[:40]
+    """A word's terms: itself and, marked by an asterisk, its first letters; of a run without spaces all runs of four letters."""
+    if len(word) > LONG:
+        return list(dict.fromkeys(f"{word[i : i + 4]}*" for i in range(len(word) - 3)))
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
 
 
@@ -111,35 +117,42 @@ class Index:
         # Where each term's postings of each block begin; the last column is where the term ends.
         self.begin = np.array([a + np.searchsorted(self.doc[a:b], np.arange(n + 1) * BLOCK) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).reshape(len(self.terms), n + 1)
 
-    def _score(self, terms: np.ndarray, weights: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Cosines with the examples of the blocks from ``low`` to before ``high``, from the terms' postings."""
-        ranges = list(zip(self.begin[terms, low].tolist(), self.begin[terms, high].tolist(), strict=True))
-        doc = np.concatenate([self.doc[a:b] for a, b in ranges]) - low * BLOCK
-        part = np.concatenate([self.weight[a:b] * w for (a, b), w in zip(ranges, weights.tolist(), strict=True)])
-        return np.bincount(doc, part, (min(high * BLOCK, len(self.vectors)) - low * BLOCK))
+    def _score(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """A row of cosines for each of the blocks, from the terms' postings in them."""
+        begin = self.begin[terms[:, None], blocks[None]].ravel()
+        n = self.begin[terms[:, None], blocks[None] + 1].ravel() - begin
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        row = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), n)
+        part = self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n)
+        return np.bincount(row * BLOCK + self.doc[at] % BLOCK, part, len(blocks) * BLOCK).reshape(len(blocks), BLOCK)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k best examples, all above 0; ties go to the lower number.
 
-        The block with the best bound gives a first k-th best cosine; only
-        blocks whose bounds reach it can hold better ones.
+        Blocks are scored by descending bound, some more each time, until the
+        next bound is below the k-th best cosine.
         """
         bound = weights @ self.most[terms]
-        best = int(bound.argmax())
-        got = self._score(terms, weights, best, best + 1)
-        if best == skip // BLOCK:
-            got[skip % BLOCK] = 0
-        least = np.partition(got, -k)[-k] if len(got) > k else 0.0
-        blocks = np.flatnonzero((bound >= least - 1e-9) & (bound > 0))
-        if not len(blocks):
-            return np.zeros(0, np.int64), np.zeros(0)
-        low = int(blocks[0])
-        got = self._score(terms, weights, low, int(blocks[-1]) + 1)
-        if 0 <= skip - low * BLOCK < len(got):
-            got[skip - low * BLOCK] = 0
-        new = np.flatnonzero((got > 0) & (got >= least - 1e-9))
-        order = new[np.lexsort((new, -got[new]))][:k]
-        return order + low * BLOCK, got[order]
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
+        numbers, cosines, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 1
+        while at < len(order) and bound[order[at]] >= least - 1e-9:
+            blocks = order[at : at + step]
+            blocks = blocks[bound[blocks] >= least - 1e-9]
+            got = self._score(terms, weights, blocks)
+            row, place = np.nonzero((got > 0) & (got >= least - 1e-9))
+            number = blocks[row] * BLOCK + place
+            cosine = got[row, place]
+            if skip >= 0:
+                cosine, number = cosine[number != skip], number[number != skip]
+            numbers, cosines = np.append(numbers, number), np.append(cosines, cosine)
+            if len(cosines) >= k:
+                best = np.lexsort((numbers, -cosines))[:k]
+                numbers, cosines = numbers[best], cosines[best]
+                least = cosines[-1]
+            at, step = at + step, 4 * step
+        best = np.lexsort((numbers, -cosines))[:k]
+        return numbers[best], cosines[best]
 
     def vote(self, number: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosine, 1))
@@ -173,16 +186,17 @@ class Index:
         return value, [{"doc_id": self.ids[n], "cosine": float(c), "toxic": int(self.labels[n])} for n, c in zip(number[:EVIDENCE], cosine[:EVIDENCE], strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Index:
+def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = SAMPLE) -> Index:
     """An index of labelled documents.
 
     ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) may be learnt from;
-    ``corpus`` (text) gives the document frequencies. At most ``sample``
-    labelled documents and ``terms`` terms come to the driver.
+    ``corpus`` (text) gives the document frequencies. The counts of at most
+    ``sample`` labelled documents, and the terms chosen from them, come to the
+    driver.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # two numbers a row, of a bounded number
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -206,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
     chi2 = F.pow(both - expected, 2) * float(total) / F.greatest(expected * (total - toxic) * (1 - df / float(total)), F.lit(1e-9))
     strong = rows.select(F.explode(F.map_keys("tf")).alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("both"))
     strong = strong.where((df >= LEAST_DF) & (df < total)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    chosen = [r[0] for r in strong.orderBy(F.desc("chi2"), "term").limit(terms).select("term").collect()]
+    chosen = [r[0] for r in strong.orderBy(F.desc("chi2"), "term").select("term").collect()]
     space = docs.sparkSession.sparkContext.broadcast(Space(chosen))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
