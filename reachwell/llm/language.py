@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachwell.llm.common import blocks, table
@@ -115,16 +115,20 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 15
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from doc_id, text and lang, or None without labelled rows.
 
-    ``sample`` bounds the rows that are drawn, by a hash of the doc_id, and
-    whose features come to the driver.
+    ``sample`` bounds the rows that are drawn, by a hash of the row, and whose
+    features come to the driver; every language has a row at least, so more
+    languages than that have one each.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy("lang").limit(sample).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
     languages, each = sorted(counts), max(1, sample // len(counts))
-    rate = F.create_map(*[F.lit(z) for k in languages for z in (k, min(10**6, int(1.1e6 * each / counts[k])))])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < rate[F.col("lang")])
+    # Enough that hardly a language falls short; then the first ones of each, and repeated rows count once.
+    rate = F.create_map(*[F.lit(z) for k in languages for z in (k, min(10**9, int(1e9 * (1.1 * each + 20) / counts[k])))])
+    draw = F.xxhash64("doc_id", "text")
+    drawn = labelled.withColumn("draw", draw).where(F.pmod("draw", F.lit(10**9)) < rate[F.col("lang")]).dropDuplicates(["draw"])
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
