@@ -204,12 +204,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     plain = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))
     rows = rows.select("vec_id", "embedding", "fine", F.when(F.col("fine"), plain).alias("plain"))
     rows = rows.select("vec_id", "embedding", "fine", *[F.when(F.col("fine"), d).alias(name) for d, name in zip(digest("plain"), "hg", strict=True)])
-    reps = checkpointed(rows.where("fine").groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
+    reps = rows.where("fine").groupBy("h", "g").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    reps = checkpointed(reps.withColumn("id", F.monotonically_increasing_id()))  # numbers contents once and for all; a vec_id may have several
     found = checkpointed(links(reps.select("id", "n", "embedding"), least))
     component = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of = reps.select("h", "g", "id", "n").join(sums, "id", "left").join(component, "id", "left")
-    of = of.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    of = reps.select("h", "g", "vec_id", "id", "n").join(sums, "id", "left").join(component, "id", "left")
+    of = checkpointed(of.select("h", "g", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    of = of.join(of.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component").select("h", "g", "n_links", "component_id")
     out = rows.select("vec_id", "h", "g").join(of, ["h", "g"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
