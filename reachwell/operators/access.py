@@ -68,7 +68,8 @@ def e2sfca(
     geoid and pop, ``supply`` coord_id and supply. Origins without supply and
     bands without a weight are left out and audited. A tract of an overlap
     must have a population row. A tract that no origin reaches with a positive
-    fraction has a null ``access`` and a zero ``access_math``.
+    fraction has a null ``access`` and a zero ``access_math``; one that is
+    reached but has no score, as from an origin of unknown supply, is an error.
     """
     weights = band_weights(weights)
     first, second = incremental(weights), incremental(weights, power)
@@ -94,7 +95,9 @@ def e2sfca(
     pairs = scored.groupBy("geoid", "coord_id").agg(F.sum(F.col("w2") * F.col("f") * F.col("r")).alias("a"), F.max("r").alias("r"), F.max((F.col("f") > 0).cast("int")).alias("reached"))
     by_tract = pairs.groupBy("geoid").agg(F.sum("a").alias("a"), F.count_if(F.col("r") > 0).alias("n_providers"), F.max("reached").alias("reached"))
     reached = F.coalesce(F.col("reached") == 1, F.lit(False))
-    math = F.coalesce("a", F.lit(0.0))
+    # Reached but without a score: the two would disagree, so it is refused rather than taken for a zero.
+    diverges = F.raise_error(F.concat(F.lit("a reached tract has no score: "), F.col("geoid").cast("string"))).cast("double")
+    math = F.when(reached & F.col("a").isNull(), diverges).otherwise(F.coalesce("a", F.lit(0.0)))
     access = pop.select("geoid").distinct().join(by_tract, "geoid", "left").select(
         "geoid",
         F.when(reached, math).alias("access"),

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from reachwell import guards
 from reachwell.functions.geometry import area, bounds, holds, overlap_area
 
-#: Bands a cell search widens to before it takes all points as candidates.
-RINGS = 24
-
 
 def _span(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
@@ -69,34 +66,33 @@ def points_within(points: DataFrame, rings: DataFrame, size: float, how: str = "
 def nearest(points: DataFrame, others: DataFrame, k: int, size: float, self_join: bool = False) -> DataFrame:
     """The ``k`` nearest others of each point, ties by id: id, other, distance, place.
 
-    Both have id, x and y. Each point looks into the cells around its own; what
-    lies within ``r`` rings is complete up to a distance of ``r * size``. Points
-    whose k-th neighbour is farther look again with twice the rings, and the
-    last ones at all others.
+    Both have id, x and y. Each point looks into its own cell and the eight
+    around it, which is complete up to a distance of ``size``. Points whose k-th
+    neighbour is farther look again in cells of twice the size, until these are
+    as large as the extent of all points.
     """
     here = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    cells = here.withColumn("cx", F.floor(F.col("ox") / size)).withColumn("cy", F.floor(F.col("oy") / size))
     todo = points.select("id", "x", "y")
-    out, rings = None, 1
+    ends = todo.select("x", "y").unionByName(others.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).head()[0]
     distance = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     best = Window.partitionBy("id").orderBy("distance", "other")
     apart = F.col("id") != F.col("other") if self_join else F.lit(True)
+    out = None
     while True:
-        if rings > RINGS:
-            near = todo.crossJoin(here)  # the few points far from all others
-        else:
-            near = todo.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / size) - rings, F.floor(F.col("x") / size) + rings)))
-            near = near.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / size) - rings, F.floor(F.col("y") / size) + rings))).join(cells, ["cx", "cy"])
+        cells = here.withColumn("cx", F.floor(F.col("ox") / size)).withColumn("cy", F.floor(F.col("oy") / size))
+        near = todo.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / size) - 1, F.floor(F.col("x") / size) + 1)))
+        near = near.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / size) - 1, F.floor(F.col("y") / size) + 1))).join(cells, ["cx", "cy"])
         placed = near.where(apart).select("id", "other", distance.alias("distance")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-        if rings > RINGS:
+        placed = placed.persist()  # read three times, and by each later round
+        if ends is None or size >= ends:  # the cells hold all points
             return placed if out is None else out.unionByName(placed)
-        full = placed.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= rings * size)).select("id")
+        full = placed.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("id")
         done = placed.join(full, "id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, "id", "left_anti")
+        todo = todo.join(full, "id", "left_anti").persist()
         if todo.isEmpty():
             return out
-        rings *= 2
+        size *= 2
 
 
 def neighbour_graph(points: DataFrame, k: int, size: float) -> DataFrame:

@@ -41,7 +41,10 @@ def by_suffix(spark: SparkSession, path: str, schema: str | None = None, sep: st
 
 
 def geojson_rings(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
-    """Outer rings of a GeoJSON file's polygons and multipolygons, with the named properties: ..., part, ring."""
+    """Outer rings of a GeoJSON file's polygons and multipolygons, with the named properties: ..., part, ring.
+
+    A polygon with holes is an error: its outer ring alone would be too large.
+    """
     point = "array<double>"
     props = ", ".join(f"{k}:{t}" for k, t in properties.items())
     text = spark.read.text(path, wholetext=True)
@@ -51,7 +54,8 @@ def geojson_rings(spark: SparkSession, path: str, properties: Mapping[str, str])
     one = F.array(F.from_json("c", f"array<array<{point}>>"))
     many = F.from_json("c", f"array<array<array<{point}>>>")
     parts = own.select(*properties, F.posexplode(F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)).alias("part", "rings"))
-    ring = F.transform(F.col("rings")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    whole = F.when(F.size("rings") > 1, F.raise_error(F.lit("a polygon has holes"))).otherwise(F.col("rings")[0])
+    ring = F.transform(whole, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return parts.select(*properties, "part", ring.alias("ring"))
 
 
