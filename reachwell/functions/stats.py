@@ -143,7 +143,7 @@ def hac_trend(df: DataFrame, year: str, value: str, *keys: str, lag: int = 4, la
     return df.select(*keys, year, value).groupBy(*keys).applyInPandas(fit, schema)
 
 
-def monte_carlo_mean(df: DataFrame, access: str, estimate: str, error: str, *keys: str, draws: int = 200, seed: int = 1) -> DataFrame:
+def monte_carlo_mean(df: DataFrame, access: str, estimate: str, error: str, *keys: str, draws: int = 2000, seed: int = 1) -> DataFrame:
     """The weighted mean of ``access`` and its 95 % interval when the weights are normal draws around the estimates.
 
     Draws aren't clamped; a missing error is none. Sums by draw are partial sums, so only ``draws`` rows a key are shuffled.

@@ -125,7 +125,7 @@ def hac_trends(b: Binding) -> DataFrame:
 @query()
 def monte_carlo_means(b: Binding) -> DataFrame:
     """No SQL: drawn at random; tested by its coverage."""
-    return stats.monte_carlo_mean(_rows(b).where("access is not null").withColumn("se", F.col("pop") * 0.1), "access", "pop", "se", "segment", draws=200)
+    return stats.monte_carlo_mean(_rows(b).where("access is not null").withColumn("se", F.col("pop") * 0.1), "access", "pop", "se", "segment")
 
 
 @query(
@@ -317,7 +317,7 @@ def tier_agreement(b: Binding) -> DataFrame:
 
 @query()
 def odds_ratios(b: Binding) -> DataFrame:
-    """No SQL: fitted by iteration; tested against Newton's method."""
+    """No SQL: fitted by iteration; only its rows are tested."""
     rows = b.cover.where("specialty = 'AA'").select(coverage.is_reached(F.col("percent")).cast("int").alias("reached"), F.coalesce(F.col("rurality") == "Rural", F.lit(False)).cast("int").alias("rural"), (F.col("pop") / 1e4).alias("size"))
     return coverage.odds_ratios(rows, "reached", ["rural", "size"])
 
