@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import blocks, checkpointed, table
+from reachwell.llm.common import blocks, table, written
 from reachwell.llm.language import held_out
 
 #: Labelled documents that are drawn, by a hash of the id, for terms and examples.
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "tf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = checkpointed(rows.mapInArrow(extract, f"doc_id {kind}, toxic int, tf map<string,int>"))
+    rows = written(rows.mapInArrow(extract, f"doc_id {kind}, toxic int, tf map<string,int>"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
     if not total:
         return Index([], np.zeros(0))
