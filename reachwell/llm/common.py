@@ -58,7 +58,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again; for what is too large to be kept uncompressed."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.path = path
+    return read
+
+
+def removed(df: DataFrame) -> None:
+    """Overwrites a ``written`` table by an empty one; whatever came of it must be written or checkpointed by now."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

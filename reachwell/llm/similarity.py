@@ -122,7 +122,8 @@ DRAWS = (2, 8)
 def linked(signatures: DataFrame, verify: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], sets_of: Callable[[DataFrame], DataFrame], least: float, draws: tuple[int, ...] = DRAWS) -> DataFrame:
     """Per id with a link: id, component.
 
-    ``signatures`` has an id once, with its keys. ``verify`` takes the ids that
+    ``signatures`` has an id once, with its keys, and is read no more when
+    ``verify`` is called. ``verify`` takes the ids that
     have candidates and returns a function that keeps the linked ones of pairs
     (a, b) of them; ``sets_of`` takes ids and returns their sets (id, items).
     """
