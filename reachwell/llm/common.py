@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once; bounds a Python worker's memory.
@@ -49,6 +49,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered(rows: DataFrame, *order: Column, task_rows: int = 1_000_000) -> DataFrame:
+    """Rows of a few numbers each with ``place``, their number from 1 in an order without ties; no task orders more than its range.
+
+    ``rows`` is checkpointed. The ranges' counts, a row for some ``task_rows`` rows, are summed and sent to all.
+    """
+    dealt = rows.repartitionByRange(rows_of(rows) // task_rows + 1, *order).withColumn("part", F.spark_partition_id())
+    dealt = checkpointed(dealt)  # ranges are drawn from a sample, so their borders are kept
+    counts = dealt.groupBy("part").agg(F.count("*").alias("before"))
+    counts = counts.withColumn("before", F.sum("before").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("place", own.cast("long")).join(F.broadcast(counts), "part").withColumn("place", F.col("place") + F.col("before")).drop("part", "before")
+
+
 def rows_of(df: DataFrame) -> int:
     """The number of rows, counted once for a checkpointed table."""
     return df.counted if hasattr(df, "counted") else df.count()
