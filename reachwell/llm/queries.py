@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold a query: each has QUERIES and, where SQL can express it, ORACLE.
-MODULES = ["neardup", "html", "lines", "embeddings", "packing", "substrings", "toxicity", "language", "sharding", "decontamination", "mixing", "resampling"]
+MODULES = ["neardup", "html", "lines", "embeddings", "packing", "substrings", "toxicity", "language", "sharding", "decontamination", "mixing", "resampling", "infilling"]
 
 QUERIES = {}
 ORACLE = {}
