@@ -140,3 +140,17 @@ def odds_ratios(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataF
     table = df.sparkSession.createDataFrame(found, "term string, estimate double, se double")
     e, s = F.col("estimate"), F.col("se")
     return table.select("term", F.exp(e).alias("odds_ratio"), F.exp(e - 1.96 * s).alias("low"), F.exp(e + 1.96 * s).alias("high"))
+
+
+def accessible_population(fractions: DataFrame, least: float = 0.001, z: float = 1.96) -> DataFrame:
+    """One row from tracts (pop, fraction): total and accessible population, percent, its binomial error and interval, tracts.
+
+    A missing fraction is none, a missing population counts nowhere. The
+    interval isn't clipped at 0 and 100. ``least`` is the fraction from which a
+    tract counts as one with access.
+    """
+    f = F.coalesce("fraction", F.lit(0.0))
+    sums = fractions.agg(F.coalesce(F.sum("pop"), F.lit(0.0)).alias("total_population"), F.coalesce(F.sum(f * F.col("pop")), F.lit(0.0)).alias("accessible_population"), F.count("*").alias("n_tracts_total"), F.count_if(f >= least).alias("n_tracts_with_access"))
+    p = F.when(F.col("total_population") > 0, F.col("accessible_population") / F.col("total_population"))
+    found = sums.withColumn("percent_accessible", 100 * p).withColumn("percent_se", 100 * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / F.col("total_population")))
+    return found.withColumns({f"percent_ci_{side}": F.col("percent_accessible") + sign * z * F.col("percent_se") for side, sign in (("lower", -1), ("upper", 1))})

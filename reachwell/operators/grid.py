@@ -73,11 +73,11 @@ def surface(cells: DataFrame, inside: DataFrame, ratios: DataFrame, step2: DataF
     return cells.join(parts, "cell_id", "left").select("cell_id", "pop", F.coalesce("access", F.lit(0.0)).alias("access"))
 
 
-def zonal_means(surface: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Mean access of each tract by area, and by area and population: geoid, mean, weighted_mean."""
+def zonal_means(surface: DataFrame, bridge: DataFrame, *by: str) -> DataFrame:
+    """Mean access of each tract by area, and by area and population: by (of the surface), geoid, mean, weighted_mean."""
     rows = bridge.join(surface, "cell_id").where(guards.finite(F.col("access")))
     by_pop = F.col("area") * F.coalesce("pop", F.lit(0.0))
-    return rows.groupBy("geoid").agg(ratio(F.sum(F.col("access") * F.col("area")), F.sum("area")).alias("mean"), ratio(F.sum(F.col("access") * by_pop), F.sum(by_pop)).alias("weighted_mean"))
+    return rows.groupBy(*by, "geoid").agg(ratio(F.sum(F.col("access") * F.col("area")), F.sum("area")).alias("mean"), ratio(F.sum(F.col("access") * by_pop), F.sum(by_pop)).alias("weighted_mean"))
 
 
 def zero_area_fraction(surface: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachwell.functions.geometry import oriented
 from reachwell.functions.scalars import survey_year, tract_vintage
 from reachwell.guards import CatchmentError, matched
 
@@ -40,11 +41,8 @@ def by_suffix(spark: SparkSession, path: str, schema: str | None = None, sep: st
     raise CatchmentError(f"no reader for {suffix or path!r}")
 
 
-def geojson_rings(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
-    """Outer rings of a GeoJSON file's polygons and multipolygons, with the named properties: ..., part, ring.
-
-    A polygon with holes is an error: its outer ring alone would be too large.
-    """
+def _geojson(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+    """The named properties, and ``parts``: arrays of rings, the outer one first, of each polygon or multipolygon."""
     point = "array<double>"
     props = ", ".join(f"{k}:{t}" for k, t in properties.items())
     text = spark.read.text(path, wholetext=True)
@@ -53,10 +51,28 @@ def geojson_rings(spark: SparkSession, path: str, properties: Mapping[str, str])
     own = features.select(*[F.col(f"f.properties.{k}").alias(k) for k in properties], F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
     one = F.array(F.from_json("c", f"array<array<{point}>>"))
     many = F.from_json("c", f"array<array<array<{point}>>>")
-    parts = own.select(*properties, F.posexplode(F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)).alias("part", "rings"))
+    parts = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)
+    points = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    return own.select(*properties, points.alias("parts"))
+
+
+def geojson_rings(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+    """Outer rings of a GeoJSON file's polygons and multipolygons, with the named properties: ..., part, ring.
+
+    A polygon with holes is an error: its outer ring alone would be too large.
+    """
+    parts = _geojson(spark, path, properties).select(*properties, F.posexplode("parts").alias("part", "rings"))
     whole = F.when(F.size("rings") > 1, F.raise_error(F.lit("a polygon has holes"))).otherwise(F.col("rings")[0])
-    ring = F.transform(whole, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return parts.select(*properties, "part", ring.alias("ring"))
+    return parts.select(*properties, "part", whole.alias("ring"))
+
+
+def geojson_polygons(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+    """Polygons and multipolygons of a GeoJSON file, holes included, with the named properties: ..., polygon.
+
+    Empty geometries and those of other types are left out.
+    """
+    found = _geojson(spark, path, properties).select(*properties, oriented(F.col("parts")).alias("polygon"))
+    return found.where(F.size("polygon") > 0)
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
