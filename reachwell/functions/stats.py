@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachwell.functions.inference import Group, intervals
+from reachwell.functions.ranges import running
 from reachwell.guards import finite
 
 
@@ -36,14 +38,11 @@ def known(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def cumulative(df: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
-    """Distinct values in order, with their weight, and the weight up to each as a share.
-
-    Equal values are summed first, so a window holds distinct values only.
-    """
+    """Distinct values x in order, with their weight w, the weight up to each as a share cw, and likewise of x * w (mass, cmass)."""
     sums = known(df, value, weight).groupBy(*keys, F.col(value).alias("x")).agg(F.sum(weight).alias("w"))
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    run = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("cw", F.sum("w").over(run) / F.sum("w").over(whole))
+    sums = sums.withColumn("mass", F.col("x") * F.col("w"))
+    rows = running(sums, "x", {"cw": F.col("w"), "cmass": F.col("mass")}, *keys)
+    return rows.withColumns({c: ratio(F.col(c), F.col(f"{c}_total")) for c in ("cw", "cmass")}).withColumn("share", F.col("w") / F.col("cw_total"))
 
 
 def quantile_step(df: DataFrame, value: str, weight: str, probs: list[float], *keys: str) -> DataFrame:
@@ -55,27 +54,20 @@ def quantile_step(df: DataFrame, value: str, weight: str, probs: list[float], *k
 def quantile_linear(df: DataFrame, value: str, weight: str, probs: list[float], *keys: str) -> DataFrame:
     """Interpolated between cumulative shares; beyond the ends, the end values."""
     c = cumulative(df, value, weight, *keys)
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("x")
-    c = c.withColumn("before", F.lag("cw").over(order)).withColumn("low", F.lag("x").over(order))
+    found = c.groupBy(*keys).agg(*[f(F.when(side, F.col(v))).alias(f"_{i}_{v}_{n}") for i, p in enumerate(probs) for n, f, side in (("below", F.max, F.col("cw") < p), ("from", F.min, F.col("cw") >= p)) for v in ("x", "cw")])
 
-    def at(p: float) -> Column:
-        first = F.col("before").isNull()
-        inside = (F.col("cw") >= p) & (F.col("before") < p)
-        between = F.col("low") + (F.col("x") - F.col("low")) * (p - F.col("before")) / (F.col("cw") - F.col("before"))
-        return F.min(F.when(first & (F.col("cw") >= p), F.col("x")).when(inside, between))
+    def at(i: int, p: float) -> Column:
+        low, high, below, upto = (F.col(f"_{i}_{v}_{n}") for v in ("x", "cw") for n in ("below", "from"))
+        return F.when(low.isNull(), high).otherwise(low + (high - low) * (p - below) / (upto - below))
 
-    return c.groupBy(*keys).agg(*[at(p).alias(f"q{round(100 * p)}") for p in probs])
+    return found.select(*keys, *[at(i, p).alias(f"q{round(100 * p)}") for i, p in enumerate(probs)])
 
 
 def gini(df: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
     """The population Gini coefficient, by trapezoids under the Lorenz curve."""
     c = cumulative(df, value, weight, *keys)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    run = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("mass", F.col("x") * F.col("w")).withColumn("cxw", ratio(F.sum("mass").over(run), F.sum("mass").over(whole)))
-    order = whole.orderBy("x")
-    area = (F.col("cw") - F.coalesce(F.lag("cw").over(order), F.lit(0.0))) * (F.col("cxw") + F.coalesce(F.lag("cxw").over(order), F.lit(0.0)))
-    return c.withColumn("area", area).groupBy(*keys).agg((1 - F.sum("area")).alias("gini"))
+    area = F.col("share") * (2 * F.col("cmass") - ratio(F.col("mass"), F.col("cmass_total")))
+    return c.groupBy(*keys).agg((1 - F.sum(area)).alias("gini"))
 
 
 def student_p(t: float, df: float) -> float:
@@ -144,14 +136,9 @@ def hac_trend(df: DataFrame, year: str, value: str, *keys: str, lag: int = 4, la
 
 
 def monte_carlo_mean(df: DataFrame, access: str, estimate: str, error: str, *keys: str, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """The weighted mean of ``access`` and its 95 % interval when the weights are normal draws around the estimates.
+    """The weighted mean of ``access`` and its 95 % interval when the weights are normal draws around the estimates: keys, point, low, high.
 
-    Draws aren't clamped; a missing error is none. Sums by draw are partial sums, so only ``draws`` rows a key are shuffled.
+    Draws aren't clamped; a missing error is none, a negative one is refused.
     """
-    rows = df.select(*keys, F.col(access).alias("a"), F.col(estimate).alias("e"), F.coalesce(F.col(error), F.lit(0.0)).alias("s"))
-    rows = rows.withColumn("z", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawn = rows.withColumn("w", F.col("e") + F.col("s") * F.randn(seed))
-    by = drawn.groupBy(*keys, "z").agg(weighted_mean_all(F.col("a"), F.col("w")).alias("m"))
-    spread = by.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    point = df.groupBy(*keys).agg(weighted_mean_all(F.col(access), F.col(estimate)).alias("point"))
-    return point.join(spread, list(keys)) if keys else point.crossJoin(spread)
+    found = intervals(df, access, {"all": Group(estimate, error)}, None, *keys, draws=draws, seed=seed)
+    return found.where("metric = 'mean_all'").select(*keys, "point", "low", "high")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachwell.constants import DECAY_SCHEMES, REACHED_PERCENT
+from reachwell.functions.ranges import running
 from reachwell.functions.stats import ratio
 
 
@@ -93,16 +94,14 @@ def composites(bands: DataFrame, key: str, schemes: Mapping[str, Mapping[int, fl
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], *keys: str) -> DataFrame:
     """Rank correlations, ties sharing their mean rank: keys, first, second, rho.
 
-    Ranks come from counts of distinct values, so a window holds distinct values only.
+    Ranks come from running counts of distinct values.
     """
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
     out = None
     names = sorted({c for p in pairs for c in p})
     rows = df.select(*keys, *names).where(" and ".join(f"{c} is not null" for c in names))
     for c in names:
         counts = rows.groupBy(*keys, c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(whole.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        counts = counts.select(*keys, c, (upto - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
+        counts = running(counts, c, {"_upto": F.col("_n")}, *keys).select(*keys, c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
         rows = rows.join(counts, [*keys, c])
     for a, b in pairs:
         one = rows.groupBy(*keys).agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho")).select(*keys, F.lit(a).alias("first"), F.lit(b).alias("second"), "rho")

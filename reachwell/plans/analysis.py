@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachwell import guards
 from reachwell.constants import BAND_WEIGHTS, DECAY_SCHEMES
-from reachwell.functions import scalars, stats
+from reachwell.functions import inference, scalars, stats
 from reachwell.operators import classify, coverage, robustness, strata
 from reachwell.operators import supply as supplies
 from reachwell.plans.binding import Binding
@@ -128,6 +128,69 @@ def monte_carlo_means(b: Binding) -> DataFrame:
     return stats.monte_carlo_mean(_rows(b).where("access is not null").withColumn("se", F.col("pop") * 0.1), "access", "pop", "se", "segment")
 
 
+def _inference(b: Binding) -> DataFrame:
+    """Access with three populations and their errors; the middle one is nobody in places."""
+    k, p = F.col("k"), F.col("pop").cast("double")
+    return _rows(b).where("access is not null").select("geoid", "segment", "rurality", "access", p.alias("all"), (p * 0.1).alias("all_se"), F.when(k % 4 == 0, p).alias("g2"), (p * 0.2).alias("g2_se"), (p * (k % 3)).alias("g1"), F.when(k % 2 == 0, p * 0.3).alias("g1_se"))
+
+
+def _contrasts(b: Binding) -> DataFrame:
+    groups = {"national": inference.Group("all", "all_se"), "metro": inference.Group("all", "all_se", F.col("rurality") == "Metropolitan"), "rural": inference.Group("all", "all_se", F.col("rurality") == "Rural")}
+    groups |= {"g1": inference.Group("g1", "g1_se"), "g2": inference.Group("g2", "g2_se")}
+    contrasts = {"metro_minus_rural": ("mean_metro", "minus", "mean_rural"), "metro_rural_ratio": ("mean_metro", "over", "mean_rural"), "g1_minus_g2": ("mean_g1", "minus", "mean_g2"), "g1zero_minus_g2zero": ("zero_g1", "minus", "zero_g2")}
+    return inference.intervals(_inference(b), "access", groups, {n: inference.Contrast(*c) for n, c in contrasts.items()}, "segment")
+
+
+_METRICS = ", ".join(
+    f"sum(access * {w}) FILTER ({c}) / nullif(sum({w}) FILTER ({c}), 0) AS mean_{n}, 100 * sum(CASE WHEN access = 0 THEN {w} ELSE 0 END) FILTER ({c}) / nullif(sum({w}) FILTER ({c}), 0) AS zero_{n}"
+    for n, w, c in (("national", "pop", "true"), ("metro", "pop", "rurality = 'Metropolitan'"), ("rural", "pop", "rurality = 'Rural'"), ("g1", "g1", "true"), ("g2", "g2", "true"))
+)
+_NAMED = ", ".join(
+    f"{{'metric': '{m}', 'point': CAST({m} AS DOUBLE)}}"
+    for m in [f"{s}_{g}" for g in ("national", "metro", "rural", "g1", "g2") for s in ("mean", "zero")] + ["metro_minus_rural", "metro_rural_ratio", "g1_minus_g2", "g1zero_minus_g2zero"]
+)
+
+
+@query(
+    f"""SELECT segment, u.metric AS metric, round(u.point, 6) + CAST(0 AS DOUBLE) AS point FROM (
+  SELECT segment, unnest([{_NAMED}]) AS u FROM (SELECT *, mean_metro - mean_rural AS metro_minus_rural, mean_metro / nullif(mean_rural, 0) AS metro_rural_ratio, mean_g1 - mean_g2 AS g1_minus_g2, zero_g1 - zero_g2 AS g1zero_minus_g2zero
+  FROM (SELECT segment, {_METRICS} FROM kn GROUP BY 1)))""",
+    _ROWS,
+)
+def contrast_points(b: Binding) -> DataFrame:
+    """What the intervals of strata and their contrasts lie around."""
+    return _contrasts(b).select("segment", "metric", "point")
+
+
+@query()
+def contrast_intervals(b: Binding) -> DataFrame:
+    """No SQL: intervals of draws; tested against draws of every row."""
+    return _contrasts(b)
+
+
+_P = """CASE WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (th + CASE WHEN nu = 1 THEN 0 ELSE sin(th) * cos(th) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda m: list_product(list_prepend(CAST(1 AS DOUBLE), list_transform(range(1, m + 1), lambda j: 2.0::DOUBLE * j / (2 * j + 1)))) * cos(th) ** (2 * m))) END)
+  ELSE 1 - sin(th) * list_sum(list_transform(range(0, nu // 2), lambda m: list_product(list_prepend(CAST(1 AS DOUBLE), list_transform(range(1, m + 1), lambda j: (2.0::DOUBLE * j - 1) / (2 * j)))) * cos(th) ** (2 * m))) END"""
+
+
+@query(
+    f"""SELECT specialty, n, {r('slope', 'se')}, CASE WHEN se IS NOT NULL THEN round(CASE WHEN se > 0 THEN {_P} WHEN slope = 0 THEN 1 ELSE 0 END, 6) + CAST(0 AS DOUBLE) END AS p FROM (
+  SELECT *, atan(abs(slope) / nullif(se, 0) / sqrt(nu)) AS th FROM (
+  SELECT specialty, n, n - 2 AS nu, CASE WHEN n >= 3 AND sxx > 0 THEN slope END AS slope, CASE WHEN n >= 3 AND sxx > 0 THEN sqrt(CASE WHEN syy - slope * slope * sxx <= 1e-14 * syy THEN 0 ELSE syy - slope * slope * sxx END / (n - 2) / sxx) END AS se
+  FROM (SELECT specialty, count(*) AS n, regr_slope(v, analysis_year) AS slope, regr_sxx(v, analysis_year) AS sxx, regr_syy(v, analysis_year) AS syy
+        FROM (SELECT specialty, analysis_year, count(DISTINCT npi) AS v FROM panel JOIN cohort USING (npi) GROUP BY 1, 2) WHERE analysis_year <= 2022 GROUP BY 1)))"""
+)
+def trend_p_values(b: Binding) -> DataFrame:
+    return inference.trends(b.panel.join(b.cohort, "npi").groupBy("specialty", "analysis_year").agg(F.count_distinct("npi").alias("v")), "analysis_year", "v", "specialty")
+
+
+@query()
+def inferential_table(b: Binding) -> DataFrame:
+    """No SQL: texts of intervals and trends; their numbers are tested."""
+    series = b.panel.join(b.tracts.select((F.col("k")).alias("npi"), "segment", F.coalesce("rurality", F.lit("Unknown")).alias("stratum")), "npi").groupBy("segment", "stratum", "analysis_year").agg(F.count("*").alias("v"))
+    columns = [("national_mean", "mean_national", 3), ("metro_rural_ratio", "metro_rural_ratio", 2), ("rural_pct_zero", "zero_rural", 2), ("g1_mean", "mean_g1", 3), ("g1_minus_g2_zero", "g1zero_minus_g2zero", 2)]
+    return inference.inferential_table(_contrasts(b), inference.trends(series, "analysis_year", "v", "segment", "stratum"), "segment", columns, [("metro_trend", "Metropolitan"), ("rural_trend", "Rural")])
+
+
 @query(
     """SELECT k, CASE WHEN 1 + k % 12 <= 3 THEN 'Metropolitan' WHEN 1 + k % 12 <= 10 THEN 'Rural' END AS rurality,
   CASE WHEN 1 + k % 12 <= 3 THEN 'Metropolitan' WHEN 1 + k % 12 <= 6 THEN 'Micropolitan' WHEN 1 + k % 12 <= 9 THEN 'Small town' ELSE 'Rural' END AS ruca_level,
