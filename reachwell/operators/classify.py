@@ -2,63 +2,102 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachwell.functions.ranges import running
 from reachwell.functions.stats import ratio
 from reachwell.guards import CatchmentError
 
 #: Colours of a three by three scheme from low-low to high-high (fixed values).
 PALETTE = {"1-1": "#e8e8e8", "2-1": "#ace4e4", "3-1": "#5ac8c8", "1-2": "#dfb0d6", "2-2": "#a5add3", "3-2": "#5698b9", "1-3": "#be64ac", "2-3": "#8c62aa", "3-3": "#3b4994"}
-#: Distinct values that natural breaks are computed over on the driver.
-JENKS_VALUES = 5000
+#: Distinct values that natural breaks are computed over on the driver; beyond them quantiles are taken.
+JENKS_VALUES = 1_000_000
 
 
 def jenks(values: Sequence[float], counts: Sequence[int], k: int) -> list[float]:
-    """Breaks of ``k`` classes with the least sum of squares within, by dynamic programming over sorted distinct values."""
-    import numpy as np
+    """Breaks of ``k`` classes with the least sum of squares within, over sorted distinct values.
 
+    The best cut before a value never moves back as the value moves on. So for
+    each number of classes the middle value is solved first and bounds the
+    cuts of both halves, and all values of one depth are solved at once.
+    """
     x, w = np.array(values, float), np.array(counts, float)
     n = len(x)
     if n <= k:
         return [float(x[0]), *map(float, x)] if n else []
-    cw, cx, cxx = (np.append(0, np.cumsum(v)) for v in (w, w * x, w * x * x))
-    best = np.full((k + 1, n + 1), np.inf)
-    best[0, 0] = 0
-    cut = np.zeros((k + 1, n + 1), int)
+    v = x - (w @ x) / w.sum()  # squares of large values would drown the differences
+    cw, cx, cxx = (np.append(0, np.cumsum(c)) for c in (w, w * v, w * v * v))
+
+    def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (cxx[j] - cxx[i]) - (cx[j] - cx[i]) ** 2 / (cw[j] - cw[i])
+
+    best = np.full(n + 1, np.inf)
+    best[0], cuts = 0.0, []
     for c in range(1, k + 1):
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            mass = cw[j] - cw[i]
-            cost = best[c - 1, i] + (cxx[j] - cxx[i]) - (cx[j] - cx[i]) ** 2 / mass
-            at = int(cost.argmin())
-            best[c, j], cut[c, j] = cost[at], i[at]
+        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        low, high = np.array([c]), np.array([n])  # values to solve, and between which cuts
+        first, last = np.array([c - 1]), np.array([n - 1])
+        while len(low):
+            j = (low + high) // 2
+            size = np.minimum(last, j - 1) - first + 1
+            starts = np.cumsum(size) - size
+            i = np.repeat(first - starts, size) + np.arange(size.sum())
+            cost = best[i] + within(i, np.repeat(j, size))
+            least = np.minimum.reduceat(cost, starts)
+            hit = np.flatnonzero(cost == np.repeat(least, size))
+            at = i[hit[np.searchsorted(hit, starts)]]
+            now[j], cut[j] = least, at
+            left, right = low < j, j < high
+            low, high, first, last = (np.concatenate(p) for p in ((low[left], j[right] + 1), (j[left] - 1, high[right]), (first[left], at[right]), (at[left], last[right])))
+        best = now
+        cuts.append(cut)
     ends, j = [], n
-    for c in range(k, 0, -1):
+    for cut in reversed(cuts):
         ends.append(float(x[j - 1]))
-        j = cut[c, j]
+        j = int(cut[j])
     return [float(x[0]), *reversed(ends)]
 
 
+def quantiles(df: DataFrame, x: Column, probs: Sequence[float]) -> list[float] | None:
+    """Interpolated between the order statistics; null and NaN are left out; None for no rows."""
+    counts = df.select(x.cast("double").alias("x")).where("x is not null and not isnan(x)").groupBy("x").agg(F.count("*").alias("n"))
+    rows = running(counts, "x", {"upto": F.col("n")})
+    total = rows.agg(F.max("upto_total")).head()[0]
+    if total is None:
+        return None
+    spots = [(total - 1) * p for p in probs]
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
+    found = rows.agg(*[F.array(at(int(s)), at(min(int(s) + 1, total - 1))) for s in spots]).head()
+    return [a + (b - a) * (s - int(s)) for (a, b), s in zip(found, spots, strict=True)]
+
+
 def breaks(df: DataFrame, column: str, n: int, method: str) -> list[float]:
-    """Class limits, distinct and ascending, from the least to the greatest value; null counts as 0."""
+    """Class limits, distinct and ascending, from the least to the greatest value; null counts as 0.
+
+    Natural breaks of more than ``JENKS_VALUES`` distinct values are those of quantiles, with a warning.
+    """
     x = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    if method not in ("quantile", "equal", "jenks"):
+        raise CatchmentError("method must be quantile, equal or jenks")
+    if method == "jenks":
+        rows = df.groupBy(x.alias("x")).count().orderBy("x").limit(JENKS_VALUES + 1).collect()
+        if len(rows) <= JENKS_VALUES:
+            found = jenks([r[0] for r in rows], [r[1] for r in rows], n) if rows else None
+        else:
+            warnings.warn(f"natural breaks need at most {JENKS_VALUES} distinct values; classes are of equal counts instead", stacklevel=2)
+            method = "quantile"
     if method == "quantile":
-        found = df.agg(F.percentile(x, [i / n for i in range(n + 1)])).head()[0]
+        found = quantiles(df, x, [i / n for i in range(n + 1)])
     elif method == "equal":
         low, high = df.agg(F.min(x), F.max(x)).head()
         found = None if low is None else [low + (high - low) * i / n for i in range(n + 1)]
-    elif method == "jenks":
-        rows = df.groupBy(x.alias("x")).count().orderBy("x").limit(JENKS_VALUES + 1).collect()
-        if len(rows) > JENKS_VALUES:
-            raise CatchmentError(f"natural breaks need at most {JENKS_VALUES} distinct values; round them first")
-        found = jenks([r[0] for r in rows], [r[1] for r in rows], n) if rows else None
-    else:
-        raise CatchmentError("method must be quantile, equal or jenks")
     if found is None:
         raise CatchmentError("no rows to classify")
     return sorted(set(found))
@@ -133,7 +172,3 @@ def priority(df: DataFrame, access: str, burden: str, pop: str, area: str, cuts:
 def minority_share(df: DataFrame, groups: Sequence[str], total: str) -> DataFrame:
     """Adds the share of the groups together in the total; null for no total."""
     return df.withColumn("minority_share", ratio(reduce(add, [F.coalesce(g, F.lit(0.0)) for g in groups]), F.col(total)))
-
-
-def natural_order(key: str, value: str) -> Window:
-    return Window.orderBy(F.desc(value), key)

@@ -11,7 +11,7 @@ into cells, only tracts are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,7 @@ from reachwell.constants import BAND_WEIGHTS, PER_CAPITA, THRESHOLDS
 from reachwell.functions import weights as wt
 from reachwell.functions.geometry import polygon_area, polygon_length
 from reachwell.operators import grid
+from reachwell.storage import Store, kept
 
 #: Digits to which a covered fraction is exact; less is the noise of its sums.
 DIGITS = 12
@@ -225,18 +226,43 @@ def prepare_zones(zones: DataFrame, size: float) -> Zones:
     return Zones(coverage_runs(rows, size, "coord_id", "band"), centre_runs(rows, size, "coord_id", "band"))
 
 
-def zonal_population(cells: DataFrame, cover: DataFrame) -> DataFrame:
-    """Population in each zone, cells counted by the fraction covered: coord_id, band, pop.
+def stored_grid(store: Store, tracts: Callable[[], DataFrame], size: float, alloc: str = "area", **key: object) -> Grid:
+    """The grid of a key, such as vintage and year; ``tracts`` is asked for them only where the store lacks it."""
+    made: list[Grid] = []
+
+    def part(name: str) -> DataFrame:
+        if not made:
+            made.append(build_grid(tracts(), size, alloc))
+        return getattr(made[0], name)
+
+    key = {**key, "size": size, "alloc": alloc}
+    return Grid(*[store.table(f"grid_{n}", lambda n=n: part(n), **key) for n in ("cells", "bridge")], size)
+
+
+def stored_zones(store: Store, zones: Callable[[], DataFrame], size: float, **key: object) -> Zones:
+    """The prepared zones of a key; ``zones`` is asked for them only where the store lacks them."""
+    made: list[Zones] = []
+
+    def part(name: str) -> DataFrame:
+        if not made:
+            made.append(prepare_zones(zones(), size))
+        return getattr(made[0], name)
+
+    return Zones(*[store.table(f"zones_{n}", lambda n=n: part(n), **key, size=size) for n in ("cover", "centres")])
+
+
+def zonal_population(cells: DataFrame, cover: DataFrame, *keys: str) -> DataFrame:
+    """Population in each zone, cells counted by the fraction covered: keys (coord_id, band unless told otherwise), pop.
 
     A run's population is the difference of the row's running sums at its ends.
     """
-    none = F.lit(None)
-    rows = cells.select(F.col("cell_y").alias("row"), F.col("cell_x").alias("at"), "pop", none.cast("double").alias("times"), none.cast("string").alias("coord_id"), none.cast("int").alias("band"))
+    keys = keys or ("coord_id", "band")
     ends = F.inline(F.array(*[F.struct(at.alias("at"), times.alias("times")) for at, times in ((F.col("last"), F.col("fraction")), (F.col("first") - 1, -F.col("fraction")))]))
-    asked = cover.select("row", "coord_id", "band", ends).select("row", "at", F.lit(0.0).alias("pop"), "times", "coord_id", "band")
+    asked = cover.select("row", *keys, ends).withColumn("pop", F.lit(0.0))
+    rows = asked.unionByName(cells.select(F.col("cell_y").alias("row"), F.col("cell_x").alias("at"), "pop"), allowMissingColumns=True)
     along = Window.partitionBy("row").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.unionByName(asked).withColumn("upto", F.sum("pop").over(along)).where("times is not null")
-    return rows.groupBy("coord_id", "band").agg(F.greatest(F.sum(F.col("times") * F.col("upto")), F.lit(0.0)).alias("pop"))
+    rows = rows.withColumn("upto", F.sum("pop").over(along)).where("times is not null")
+    return rows.groupBy(*keys).agg(F.greatest(F.sum(F.col("times") * F.col("upto")), F.lit(0.0)).alias("pop"))
 
 
 def surface(cells: DataFrame, centres: DataFrame, ratios: DataFrame, step2: DataFrame, *by: str) -> DataFrame:
@@ -329,3 +355,43 @@ def raster_variants(grids: Mapping[int, tuple[Grid, Zones]], supply: DataFrame,
     if missing:
         raise guards.CatchmentError(f"no grid of resolution {sorted(missing)}")
     return out
+
+
+def seam_populations(current: DataFrame, former: DataFrame, size: float, within: float = 1e-9) -> DataFrame:
+    """One year's population on cells under the tracts of two vintages, by four methods: method, vintage, cell_id, cell_x, cell_y, pop.
+
+    ``current`` has geoid, pop and polygon; ``former`` geoid and polygon. The
+    former tracts get what lies in them of the current tracts' cells, and
+    allocate it anew. ``raw`` allocates to centres, ``mass_conserving`` by
+    area; ``equal_total`` is ``raw`` with both at the current vintage's total,
+    and ``mass_conserving_eqtot`` takes the former vintage to the current one's
+    total. Totals that should be equal are checked.
+    """
+    def sum_of(df: DataFrame) -> float:
+        return df.agg(F.coalesce(F.sum("pop"), F.lit(0.0))).head()[0]
+
+    guards._refuse("negative population", current.where("pop < 0"), "geoid")
+    valid(current, "geoid"), valid(former, "geoid")
+    found, total, cover = {}, {}, kept(coverage_runs(former, size, "geoid"))
+    for method, alloc in (("raw", "center"), ("mass_conserving", "area")):
+        own = kept(build_grid(current, size, alloc, check=False).cells)
+        inside = zonal_population(own, cover, "geoid")
+        moved = kept(former.select("geoid", "polygon").join(inside, "geoid", "left").withColumn("pop", F.coalesce("pop", F.lit(0.0))))
+        found[method] = (own, kept(build_grid(moved, size, alloc, check=False).cells))
+        total[method] = [sum_of(c) for c in found[method]]
+        if alloc == "area":
+            for tracts, cells in zip((current, moved), total[method], strict=True):
+                guards.conserved(sum_of(tracts), cells, 1e-6, "population on the grid")
+    scaled = lambda cells, own, to: cells.withColumn("pop", F.col("pop") * (to / own)) if own else cells
+    (a, b), (a_total, b_total) = found["raw"], total["raw"]
+    found["equal_total"] = (scaled(a, a_total, a_total), scaled(b, b_total, a_total))
+    (a, b), (a_total, b_total) = found["mass_conserving"], total["mass_conserving"]
+    found["mass_conserving_eqtot"] = (a, scaled(b, b_total, a_total))
+    out = None
+    for method, pair in found.items():
+        if method.startswith("equal") or method.endswith("eqtot"):
+            guards.conserved(*map(sum_of, pair), within, f"{method} population")
+        for vintage, cells in zip(("current", "former"), pair, strict=True):
+            rows = cells.select(F.lit(method).alias("method"), F.lit(vintage).alias("vintage"), "cell_id", "cell_x", "cell_y", "pop")
+            out = rows if out is None else out.unionByName(rows)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reachwell import guards
 from reachwell.constants import BAND_WEIGHTS, DECAY_SCHEMES
 from reachwell.functions import inference, scalars, stats
-from reachwell.operators import classify, coverage, robustness, strata
+from reachwell.operators import classify, compare, coverage, robustness, strata
 from reachwell.operators import supply as supplies
 from reachwell.plans.binding import Binding
 from reachwell.plans.model import _VARIANTS, STEPS, _access, _means, _variants
@@ -547,3 +547,24 @@ def variant_gates(b: Binding) -> DataFrame:
 def variant_correlation(b: Binding) -> DataFrame:
     at = lambda v: F.max(F.when(F.col("variant") == v, F.col("national")))
     return _sens(b).groupBy("subspec").agg(at("base").alias("n1"), at("sharper").alias("n2")).agg(F.corr("n1", "n2").alias("pearson"))
+
+
+_LEAVES = """summary AS (SELECT specialty, analysis_year AS year, count(*) AS n, CAST(count(*) AS DOUBLE) / 7 AS mean, min(coord_id) AS origin FROM panel JOIN cohort USING (npi) GROUP BY 1, 2),
+leaves AS (SELECT specialty, 'years[' || (row_number() OVER (PARTITION BY specialty ORDER BY year) - 1) || ']' AS place, year, n, mean, origin FROM summary WHERE specialty NOT LIKE '%5'),
+moved AS (SELECT specialty, place || '.mean' AS path, 'changed' AS kind, mean AS b, mean * 1.5 AS a FROM leaves WHERE specialty LIKE '%3'),
+named AS (SELECT specialty, place || '.origin' AS path, 'changed' AS kind, origin AS before, origin || 'x' AS after FROM leaves WHERE specialty LIKE '%4' AND year = 1995)"""
+
+
+def _record(b: Binding, mean, origin_) -> DataFrame:
+    rows = b.panel.join(b.cohort, "npi").where("specialty not like '%5'").groupBy("specialty", F.col("analysis_year").alias("year")).agg(F.count("*").alias("n"), F.min("coord_id").alias("origin"))
+    one = F.struct("year", "n", mean(F.col("n") / 7.0).alias("mean"), origin_(F.col("origin")).alias("origin"))
+    return rows.groupBy("specialty").agg(F.array_sort(F.collect_list(one)).alias("years"), F.struct(F.sum("n").alias("rows"), F.lit("1.0").alias("version")).alias("context"))
+
+
+@query("SELECT specialty, path, kind, CAST(b AS VARCHAR) IS NOT NULL AS had FROM moved UNION ALL SELECT specialty, path, kind, true FROM named", _LEAVES)
+def moved_results(b: Binding) -> DataFrame:
+    """Nested yearly records against a version with other means and names in places; the context isn't compared."""
+    moved = _record(b, lambda m: F.when(F.col("specialty").endswith("3"), m * 1.5).otherwise(m + 1e-12), lambda o: F.when(F.col("specialty").endswith("4") & (F.col("year") == 1995), F.concat(o, F.lit("x"))).otherwise(o))
+    before = _record(b, lambda m: m, lambda o: o).withColumn("context", F.struct(F.lit(0).cast("long").alias("rows"), F.lit("0.9").alias("version")))
+    found = compare.differences(before, moved, ["specialty"], ignore=["context"])
+    return found.select("specialty", "path", "kind", F.col("before").isNotNull().alias("had"))

@@ -235,3 +235,37 @@ def union_fractions(b: Binding) -> DataFrame:
 def accessible_population(b: Binding) -> DataFrame:
     """Coverage of one band with its error: areas of the zones' union, counted once where they overlap."""
     return coverage.accessible_population(_union(b))
+
+
+def former_shapes(b: Binding) -> DataFrame:
+    """Tracts of another vintage: boxes that fit neither the cells nor the lattice: geoid, polygon."""
+    i, j = F.col("k") % 26 * 1.7 - 1, F.floor(F.col("k") / 26) * 1.3 - 1
+    return b.tracts.select("geoid", _box(i, j, i + 1.7, j + 1.3).alias("polygon"))
+
+
+def _center(tag: str, pops: str, cents: str) -> str:
+    return f"{tag} AS (SELECT cx, cy, sum(pop / n) AS pop FROM {cents} JOIN {pops} USING (geoid) JOIN (SELECT geoid, count(*) AS n FROM {cents} GROUP BY 1) USING (geoid) GROUP BY 1, 2)"
+
+
+def _recaptured(tag: str, cells: str) -> str:
+    return f"{tag} AS (SELECT geoid, sum(pop * fraction) AS pop FROM fcov JOIN {cells} USING (cx, cy) GROUP BY 1)"
+
+
+_SEAM = f"""{EDGES}, frings AS (SELECT geoid, k % 26 * 1.7::DOUBLE - 1 AS a, k // 26 * 1.3::DOUBLE - 1 AS b FROM tracts),
+fpoints AS (SELECT geoid, [{{'x': a, 'y': b}}, {{'x': a + 1.7::DOUBLE, 'y': b}}, {{'x': a + 1.7::DOUBLE, 'y': b + 1.3::DOUBLE}}, {{'x': a, 'y': b + 1.3::DOUBLE}}] AS p FROM frings),
+fedges AS (SELECT geoid, p[n].x AS x1, p[n].y AS y1, p[n % 4 + 1].x AS x2, p[n % 4 + 1].y AS y2 FROM (SELECT geoid, p, unnest(range(1, 5)) AS n FROM fpoints)),
+{_covers("tcov", "tedges", "geoid", SIZE)}, {_covers("fcov", "fedges", "geoid", SIZE)}, {_centres("tcent", "tedges", "geoid", SIZE)}, {_centres("fcent", "fedges", "geoid", SIZE)},
+area_a AS (SELECT cx, cy, sum(pop * fraction / whole) AS pop FROM tcov JOIN tracts USING (geoid) JOIN (SELECT geoid, sum(fraction) AS whole FROM tcov GROUP BY 1) USING (geoid) GROUP BY 1, 2),
+{_center("raw_a", "tracts", "tcent")}, {_recaptured("farea", "area_a")}, {_recaptured("fraw", "raw_a")}, {_center("raw_b", "fraw", "fcent")},
+area_b AS (SELECT cx, cy, sum(pop * fraction / whole) AS pop FROM fcov JOIN farea USING (geoid) JOIN (SELECT geoid, sum(fraction) AS whole FROM fcov GROUP BY 1) USING (geoid) GROUP BY 1, 2),
+seams AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, '{v}' AS vintage, cx, cy, pop{scale} AS pop FROM {t}" for m, v, t, scale in (
+    ("raw", "current", "raw_a", ""), ("raw", "former", "raw_b", ""), ("equal_total", "current", "raw_a", ""), ("equal_total", "former", "raw_b", " * (SELECT sum(pop) FROM raw_a) / (SELECT sum(pop) FROM raw_b)"),
+    ("mass_conserving", "current", "area_a", ""), ("mass_conserving", "former", "area_b", ""), ("mass_conserving_eqtot", "current", "area_a", ""), ("mass_conserving_eqtot", "former", "area_b", " * (SELECT sum(pop) FROM area_a) / (SELECT sum(pop) FROM area_b)")))})"""
+
+
+@query(f"SELECT method, vintage, {r('sum(pop) AS total', 'sum(pop * cx) / sum(pop) AS x', 'sum(pop * cy) / sum(pop) AS y', 'max(pop) AS most', digits=4)} FROM seams GROUP BY 1, 2", _SEAM, digits=4)
+def seam_populations(b: Binding) -> DataFrame:
+    """Totals, centres and greatest cells of the populations that the seam test compares."""
+    rows = raster.seam_populations(tract_shapes(b), former_shapes(b), SIZE)
+    mean = lambda c: F.sum(F.col("pop") * F.col(c)) / F.sum("pop")
+    return rows.groupBy("method", "vintage").agg(F.sum("pop").alias("total"), mean("cell_x").alias("x"), mean("cell_y").alias("y"), F.max("pop").alias("most"))
