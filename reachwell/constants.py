@@ -25,3 +25,20 @@ EQUITY_CUTS = (0.90, 1.10)
 CLAIM_LEVEL, MATERIAL_CHANGE = 0.5, 0.25
 #: Double-precision epsilon, as a floor of denominators.
 EPSILON = 2.220446049250313e-16
+#: Survey variables of women: all, and by group (fixed values).
+TOTAL_FEMALE = "B01001_026"
+RACE_FEMALE = {"white_nh": "B01001H_017", "black": "B01001B_017", "hispanic": "B01001I_017", "asian": "B01001D_017", "aian": "B01001C_017", "nhpi": "B01001E_017"}
+#: Certifications and the specialty that they count for (fixed values).
+SPECIALTY_CODES = {
+    "Gynecologic Oncology": "GO",
+    "CRI": "GO",
+    "Hospice and Palliative Medicine": "GO",
+    "Maternal-Fetal Medicine": "MFM",
+    "Reproductive Endocrinology and Infertility": "REI",
+    "Female Pelvic Medicine & Reconstructive Surgery": "FPMRS",
+    "MIG": "MIGS",
+    "Pediatric & Adolescent Gynecology": "PAG",
+    "Complex Family Planning": "CFP",
+}
+#: Age bands of demand by the survey's columns from and to (fixed values).
+AGE_BANDS = {"adult_18p": (31, 49), "repro_1544": (30, 38), "repro_1549": (30, 39), "age_1854": (31, 40), "girls_019": (27, 31), "age_40p": (38, 49)}

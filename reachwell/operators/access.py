@@ -21,6 +21,10 @@ from reachwell.functions.stats import ratio
 from reachwell.functions.weights import band_weights, incremental, weight_of
 
 
+#: Ids that an audit lists.
+LISTED = 20
+
+
 @dataclass
 class Access:
     """A result: access by tract, ratios by origin, one row of audit, and what they were computed with."""
@@ -113,7 +117,11 @@ def e2sfca(
 
 
 def _audit(overlap: DataFrame, supply: DataFrame, ratios: DataFrame, access: DataFrame, weights: Mapping[int, float]) -> DataFrame:
-    """One row of what was left out and what was found."""
+    """One row of what was left out and what was found; lists name the first ``LISTED`` ids."""
+    def first_ids(df: DataFrame, name: str) -> DataFrame:
+        ids = df.select("coord_id").distinct().orderBy("coord_id").limit(LISTED)
+        return ids.agg(F.array_sort(F.collect_list("coord_id")).alias(name))
+
     by_origin = ratios.agg(
         F.count_if("zero_demand").alias("n_zero_demand_origins"),
         F.coalesce(F.sum("excluded_supply"), F.lit(0.0)).alias("supply_zero_demand"),
@@ -122,14 +130,15 @@ def _audit(overlap: DataFrame, supply: DataFrame, ratios: DataFrame, access: Dat
     lost = overlap.join(supply.select("coord_id"), "coord_id", "left_anti")
     no_supply = lost.agg(F.count_distinct("coord_id").alias("n_coords_without_supply"), F.count("*").alias("n_rows_without_supply"))
     outside = weight_of(F.col("band"), weights).isNull()
-    no_band = overlap.join(supply.select("coord_id"), "coord_id", "left_semi").agg(F.count_if(outside).alias("n_rows_outside_bands"))
+    no_band = overlap.join(supply.select("coord_id"), "coord_id", "left_semi").agg(F.count_if(outside).alias("n_rows_outside_bands"), F.array_sort(F.collect_set(F.when(outside, F.col("band")))).alias("bands_outside"))
     tracts = access.agg(
         F.count("*").alias("n_tracts"),
         F.count_if(~F.col("reached")).alias("n_outside"),
         F.count_if("reached").alias("n_within"),
         F.count_if(F.col("reached") & (F.col("access_math") == 0)).alias("n_reached_scoring_zero"),
     )
-    return by_origin.crossJoin(no_supply).crossJoin(no_band).crossJoin(tracts)  # one row each
+    lists = first_ids(ratios.where("zero_demand"), "zero_demand_coord_ids").crossJoin(first_ids(lost, "coord_ids_without_supply"))
+    return by_origin.crossJoin(no_supply).crossJoin(no_band).crossJoin(tracts).crossJoin(lists)  # one row each
 
 
 def variant_access(overlap: DataFrame, tract_pop: DataFrame, supply: DataFrame, variants: DataFrame, check: bool = True) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachwell import guards
-from reachwell.constants import BAND_WEIGHTS, EPSILON
+from reachwell.constants import AGE_BANDS, BAND_WEIGHTS, EPSILON
 from reachwell.functions.stats import ratio
 from reachwell.functions.weights import incremental, weight_of
 
@@ -86,3 +88,13 @@ def denominators(membership: DataFrame, supply: DataFrame, demands: DataFrame, n
         one = one.select(F.lit(name).alias("denominator"), "mean", (F.col("metro") / F.greatest(F.col("rural"), F.lit(EPSILON))).alias("metro_rural_ratio"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def age_band_demand(ages: DataFrame, bands: Mapping[str, tuple[int, int]] = AGE_BANDS, prefix: str = "a") -> DataFrame:
+    """Demand of each definition by tract, from columns of single ages' groups (a27, a28, ...): geoid and a column each; null counts as 0."""
+    names = {c.lower() for c in ages.columns}
+    missing = sorted({f"{prefix}{i}" for low, high in bands.values() for i in range(low, high + 1)} - names)
+    if missing:
+        raise guards.CatchmentError(f"no columns {', '.join(missing)}")
+    sums = [reduce(add, [F.coalesce(F.col(f"{prefix}{i}").cast("double"), F.lit(0.0)) for i in range(low, high + 1)]).alias(n) for n, (low, high) in bands.items()]
+    return ages.select("geoid", *sums)

@@ -15,8 +15,27 @@ from reachwell.functions.ranges import running
 from reachwell.functions.stats import ratio
 from reachwell.guards import CatchmentError
 
-#: Colours of a three by three scheme from low-low to high-high (fixed values).
-PALETTE = {"1-1": "#e8e8e8", "2-1": "#ace4e4", "3-1": "#5ac8c8", "1-2": "#dfb0d6", "2-2": "#a5add3", "3-2": "#5698b9", "1-3": "#be64ac", "2-3": "#8c62aa", "3-3": "#3b4994"}
+#: Colours of schemes of three and four classes (fixed values): rows from low to high of the second variable, in a row from low to high of the first.
+PALETTES = {
+    ("BlueYellow", 3): "#e8e8e8 #ace4e4 #5ac8c8 #dfb0d6 #a5add3 #5698b9 #be64ac #8c62aa #3b4994",
+    ("PurpleGreen", 3): "#e8e8e8 #b8d6be #73ae80 #b5b5d8 #90b2b3 #5a9178 #8c62aa #5698b9 #2a5a5b",
+    ("BrownBlue", 3): "#e8e8e8 #b5c8e2 #6c83b5 #dfc27d #c3b5a0 #9e8876 #bf812d #9c7753 #7f5f3d",
+    ("PinkBlue", 3): "#e8e8e8 #c8b2d1 #a07bb6 #f4b5bd #c992a7 #9e7091 #f18d9e #c76f82 #9d5266",
+    ("BlueYellow", 4): "#f3f3f3 #d5e9f2 #a0d3e8 #5ac8c8 #e6d3e1 #c8b5d0 #a094bc #5698b9 #d3a5ca #b58cb3 #93749b #3b4994 #be64ac #9e4f8f #7d3a72 #5d2855",
+    ("PurpleGreen", 4): "#f3f3f3 #d5e9d5 #a0d3a0 #73ae80 #d3d3e6 #b5b5c8 #9090a7 #5a9178 #b5b5d8 #9090b3 #6c6c8f #2a5a5b #8c62aa #6f4f8f #523d72 #352a55",
+    ("BrownBlue", 4): "#f3f3f3 #d5d9e2 #a0afd1 #6c83b5 #e6d3b5 #c8b5a0 #a7938b #7f6f76 #dfc27d #c3a666 #a7874f #8b6838 #bf812d #a36825 #874f1d #6b3615",
+    ("PinkBlue", 4): "#f3f3f3 #dfc8e1 #c89dce #a07bb6 #f9d5dd #e0b5c4 #c895ab #9e7091 #f4b5bd #db95a4 #c2758b #9d5266 #f18d9e #d86d85 #bf4d6c #a62d53",
+}
+
+
+def palette(name: str = "BlueYellow", classes: int = 3) -> dict[str, str]:
+    """A scheme's colours by ``first-second`` class."""
+    if (name, classes) not in PALETTES:
+        raise CatchmentError(f"no palette {name!r} of {classes} classes")
+    return {f"{i % classes + 1}-{i // classes + 1}": c for i, c in enumerate(PALETTES[name, classes].split())}
+
+
+PALETTE = palette()
 #: Distinct values that natural breaks are computed over on the driver; beyond them quantiles are taken.
 JENKS_VALUES = 1_000_000
 

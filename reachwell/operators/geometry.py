@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reachwell import guards
 from reachwell.functions.geometry import area_within, polygon_area, polygon_bounds, polygon_holds, polygon_overlap
 from reachwell.operators.raster import banded
+from reachwell.storage import kept
 
 
 def _span(low: Column, high: Column, size: float) -> Column:
@@ -110,6 +111,7 @@ def nearest(points: DataFrame, others: DataFrame, k: int, size: float, self_join
     neighbour is farther look again in cells of twice the size, until these are
     as large as the extent of all points.
     """
+    k = min(k, others.count() - self_join)  # all that there are
     here = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     todo = points.select("id", "x", "y")
     ends = todo.select("x", "y").unionByName(others.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).head()[0]
@@ -122,13 +124,13 @@ def nearest(points: DataFrame, others: DataFrame, k: int, size: float, self_join
         near = todo.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / size) - 1, F.floor(F.col("x") / size) + 1)))
         near = near.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / size) - 1, F.floor(F.col("y") / size) + 1))).join(cells, ["cx", "cy"])
         placed = near.where(apart).select("id", "other", distance.alias("distance")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-        placed = placed.persist()  # read three times, and by each later round
+        placed = kept(placed)  # read three times, and by each later round
         if ends is None or size >= ends:  # the cells hold all points
             return placed if out is None else out.unionByName(placed)
         full = placed.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("id")
         done = placed.join(full, "id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, "id", "left_anti").persist()
+        todo = kept(todo.join(full, "id", "left_anti"))
         if todo.isEmpty():
             return out
         size *= 2

@@ -120,6 +120,55 @@ def claims(sens: DataFrame, main: str) -> DataFrame:
     return by.withColumn("c4", F.col("c2") & F.col("c3"))
 
 
+def order_claim(sens: DataFrame, leaders: Sequence[str], last: str) -> DataFrame:
+    """Whether the specialties with the highest national access are the leaders, and the one with the lowest is the last: variant, c5.
+
+    Ties are in the order of names; a specialty without a value is below all.
+    """
+    n = F.coalesce("national", F.lit(float("-inf")))
+    ranks = sens.select("variant", "subspec", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc(n), "subspec")).alias("place"), F.count("*").over(Window.partitionBy("variant")).alias("n"))
+    top = F.count_if((F.col("place") <= len(leaders)) & F.col("subspec").isin(*leaders)) == len(leaders)
+    return ranks.groupBy("variant").agg((top & F.bool_or((F.col("place") == F.col("n")) & (F.col("subspec") == last))).alias("c5"))
+
+
+def run_gates(rows: DataFrame, variants: Sequence[str], specialties: Sequence[str], within: float = 1e-6) -> DataFrame:
+    """What breaks a run's contract: gate, variant, subspec; no rows if the run may stand.
+
+    ``rows`` has variant, subspec, national and national_check (the same mean
+    computed another way). Gates: ``disagrees``, ``not_finite``, ``negative``,
+    ``repeated``, ``missing``, and ``m2sfca_above_base``.
+    """
+    n, c = F.col("national"), F.col("national_check")
+    own = rows.where(F.col("variant").isin(*variants))
+    tests = {
+        "disagrees": guards.finite(n) & guards.finite(c) & (F.abs(n - c) > within * F.greatest(F.abs(n), F.lit(1.0))),
+        "not_finite": ~guards.finite(n),
+        "negative": F.coalesce(n < 0, F.lit(False)),
+    }
+    failed = F.filter(F.array(*[F.when(t, F.lit(g)) for g, t in tests.items()]), lambda g: g.isNotNull())
+    out = own.select(F.explode(failed).alias("gate"), "variant", "subspec")
+    counts = own.groupBy("variant", "subspec").agg(F.count("*").alias("n"))
+    out = out.unionByName(counts.where("n > 1").select(F.lit("repeated").alias("gate"), "variant", "subspec"))
+    need = rows.sparkSession.createDataFrame([(v, s) for v in variants for s in specialties], "variant string, subspec string")
+    out = out.unionByName(need.join(counts, ["variant", "subspec"], "left_anti").select(F.lit("missing").alias("gate"), "variant", "subspec"))
+    at = lambda v: F.max(F.when(F.col("variant") == v, n))
+    above = own.groupBy("subspec").agg(at("base").alias("base"), at("m2sfca").alias("m2")).where(F.col("m2") > F.col("base") * (1 + within))
+    return out.unionByName(above.select(F.lit("m2sfca_above_base").alias("gate"), F.lit("m2sfca").alias("variant"), "subspec")).distinct()
+
+
+def metro_rural_composite(rows: DataFrame, *keys: str) -> DataFrame:
+    """An exploratory mean, neither national nor of one model: metropolitan people under one decay and rural people under another.
+
+    ``rows`` has rurality, pop, and the access under the sharp and the slow
+    decay (sharp, slow); other people are in neither.
+    """
+    metro, rural = (F.coalesce(F.col("rurality") == name, F.lit(False)) for name in ("Metropolitan", "Rural"))
+    mean = lambda a, c: ratio(F.sum(F.when(c, F.col(a) * F.col("pop"))), F.sum(F.when(c, F.col("pop"))))
+    by = rows.groupBy(*keys).agg(mean("sharp", metro).alias("metro"), mean("slow", rural).alias("rural"), F.sum(F.when(metro, F.col("pop")).otherwise(0.0)).alias("pm"), F.sum(F.when(rural, F.col("pop")).otherwise(0.0)).alias("pr"))
+    both = ratio(F.col("metro") * F.col("pm") + F.col("rural") * F.col("pr"), F.col("pm") + F.col("pr"))
+    return by.select(*keys, "metro", "rural", ratio(F.col("rural"), F.col("metro")).alias("rural_metro_ratio"), both.alias("exploratory_composite"))
+
+
 def verify_claims(recorded: DataFrame, fresh: DataFrame, key: str = "variant") -> DataFrame:
     """Recorded claims that differ from recomputed ones or are missing on a side: key, claim, recorded, found."""
     names = [c for c in fresh.columns if c != key]

@@ -159,3 +159,29 @@ def capacities(weighted: DataFrame, capacity: DataFrame | None = None) -> DataFr
         rows = weighted.join(guards.unique_key(capacity, "npi"), "npi")
     names = ("empirical_model_weight", "primary_only_weight", "equal_weight", "primary_heavy_weight")
     return rows.select("*", *[(F.col("total") * F.col(c)).alias(c.replace("weight", "capacity")) for c in names])
+
+
+def utilisation_check(weighted: DataFrame, utilisation: DataFrame) -> DataFrame:
+    """Each provider's services and beneficiary days elsewhere beside its weights: npi, services, beneficiary_days, n_locations, secondary_share, weight_source.
+
+    ``weighted`` is that of :func:`schemes`; ``utilisation`` npi, services and
+    beneficiary_days, summed by provider. Providers without weights stay.
+    """
+    sums = utilisation.groupBy("npi").agg(*[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in ("services", "beneficiary_days")])
+    by = weighted.groupBy("npi").agg(F.max("n_locations").alias("n_locations"), (1 - F.max(F.when(F.col("is_primary"), F.col("empirical_model_weight")))).alias("secondary_share"), F.array_join(F.array_sort(F.collect_set("weight_source")), "+").alias("weight_source"))
+    return sums.join(by, "npi", "left")
+
+
+def visit_check(weighted: DataFrame, visits: DataFrame) -> DataFrame:
+    """Days seen in another source at places that have weights: npi, location_id, empirical_model_weight, is_primary, match_method, days.
+
+    ``visits`` has npi, address_key, zip5 and service_date. A visit matches by
+    address, or else by a zip that the provider has once.
+    """
+    columns = ("location_id", "empirical_model_weight", "is_primary")
+    exact = visits.join(weighted.select("npi", "address_key", *columns), ["npi", "address_key"]).withColumn("match_method", F.lit("exact_address"))
+    left = visits.join(weighted.select("npi", "address_key"), ["npi", "address_key"], "left_anti")
+    alone = F.count("*").over(Window.partitionBy("npi", "zip5"))
+    once = weighted.where("zip5 is not null").withColumn("_n", alone).where("_n = 1").select("npi", "zip5", *columns)
+    by_zip = left.join(once, ["npi", "zip5"]).withColumn("match_method", F.lit("unique_npi_zip"))
+    return exact.unionByName(by_zip).groupBy("npi", *columns, "match_method").agg(F.count_distinct("service_date").alias("days"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachwell.functions.scalars import zip5
+from reachwell import guards
+from reachwell.constants import SURFACE_KM
+from reachwell.functions.geometry import albers
+from reachwell.functions.scalars import haversine_km, within_surface, zip5
 from reachwell.functions.stats import ratio
+from reachwell.operators.geometry import nearest
 
 #: States and territories outside the contiguous ones (fixed values).
 NON_CONTIGUOUS = ("AK", "HI", "PR", "GU", "VI", "AS", "MP")
@@ -86,6 +90,28 @@ def derived_workforce(means: DataFrame) -> DataFrame:
     return means.withColumn("n_derived", F.bround(F.col("mean_per_100k") * F.col("pop") / 1e5, 0).cast("long"))
 
 
+def cross_checked(staged: DataFrame, derived: DataFrame, most: int = 1) -> DataFrame:
+    """``staged`` (specialty, n_providers) with the derived count and the difference, if both have the same specialties and counts agree up to ``most``."""
+    guards.unique_key(staged, "specialty", what="a specialty repeats")
+    both = staged.select("specialty", "n_providers").join(derived.select("specialty", "n_derived"), "specialty", "full")
+    both = both.withColumn("diff", F.col("n_providers") - F.col("n_derived"))
+    guards._refuse("counts of providers disagree", both.where(F.coalesce((F.abs("diff") > most) | (F.col("n_providers") <= 0), F.lit(True))), "specialty")
+    return both
+
+
+def near_surface(recovered: DataFrame, origins: DataFrame, size: float, km: float = SURFACE_KM) -> DataFrame:
+    """Recovered providers by their nearest origin: coord_id, n; those farther than ``km`` from every origin are left out.
+
+    ``recovered`` has id, ``origins`` coord_id, both lat and lon. The nearest
+    is looked for on a projection of equal areas in cells of ``size`` metres,
+    and its distance measured on the sphere.
+    """
+    place = lambda df, key: df.select(F.col(key).alias("id"), *[c.alias(n) for c, n in zip(albers(F.col("lon"), F.col("lat")), "xy", strict=True)])
+    found = nearest(place(recovered, "id"), place(origins, "coord_id"), 1, size).select("id", F.col("other").alias("coord_id"))
+    both = found.join(recovered.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "id").join(origins.select("coord_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "coord_id")
+    return both.where(within_surface(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), km)).groupBy("coord_id").agg(F.count("*").alias("n"))
+
+
 def endpoint_change(series: DataFrame, key: str, year: str, value: str) -> DataFrame:
     """First and last year's value, the least and when it was, and the change."""
     at = F.struct(F.col(value), F.col(year))

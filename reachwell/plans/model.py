@@ -183,7 +183,9 @@ def provider_ratios(b: Binding) -> DataFrame:
   (SELECT count(DISTINCT coord_id) FROM overlap WHERE coord_id NOT IN (SELECT coord_id FROM supply)) AS n_coords_without_supply,
   (SELECT count(*) FROM overlap WHERE coord_id NOT IN (SELECT coord_id FROM supply)) AS n_rows_without_supply, CAST(0 AS BIGINT) AS n_rows_outside_bands,
   (SELECT count(*) FROM acc) AS n_tracts, (SELECT count(*) FROM acc WHERE NOT reached) AS n_outside, (SELECT count(*) FROM acc WHERE reached) AS n_within,
-  (SELECT count(*) FROM acc WHERE reached AND m = 0) AS n_reached_scoring_zero""",
+  (SELECT count(*) FROM acc WHERE reached AND m = 0) AS n_reached_scoring_zero, [] :: INTEGER[] AS bands_outside,
+  (SELECT coalesce(list(coord_id ORDER BY coord_id), []) FROM (SELECT coord_id FROM rat WHERE d <= 0 ORDER BY 1 LIMIT 20)) AS zero_demand_coord_ids,
+  (SELECT coalesce(list(coord_id ORDER BY coord_id), []) FROM (SELECT DISTINCT coord_id FROM overlap WHERE coord_id NOT IN (SELECT coord_id FROM supply) ORDER BY 1 LIMIT 20)) AS coord_ids_without_supply""",
     STEPS,
 )
 def e2sfca_audit(b: Binding) -> DataFrame:

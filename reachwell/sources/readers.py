@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachwell.constants import BAND_WEIGHTS
 from reachwell.functions.geometry import oriented
 from reachwell.functions.scalars import survey_year, tract_vintage
 from reachwell.guards import CatchmentError, matched
@@ -75,6 +77,27 @@ def geojson_polygons(spark: SparkSession, path: str, properties: Mapping[str, st
     return found.where(F.size("polygon") > 0)
 
 
+def active_bands(names: Sequence[str] = ("manuscript_settings", "drive_time_thresholds_minutes"), file: str = "config/isochrone_config.yaml", root: str | None = None, fallback: Sequence[int] = tuple(BAND_WEIGHTS)) -> list[int]:
+    """Bands of a settings file, ascending: of the given root, else of PIPELINE_ROOT, else of the working folder; the fallback if none has any.
+
+    A file that can't be read as YAML counts as without bands.
+    """
+    import yaml
+
+    for folder in (root, os.environ.get("PIPELINE_ROOT"), os.getcwd()):
+        path = Path(folder or "", file)
+        if not folder or not path.is_file():
+            continue
+        try:
+            found = yaml.safe_load(path.read_text(encoding="utf-8"))
+        except yaml.YAMLError:
+            found = None
+        for n in names:
+            found = found.get(n) if isinstance(found, dict) else None
+        return sorted(int(b) for b in found or fallback)
+    return sorted(int(b) for b in fallback)
+
+
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
     """Per-state tables as one, columns by name."""
     out = frames[0]

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 
 def windowed_supply(sightings: DataFrame, window: str = "30 days", late: str = "1 day") -> DataFrame:
-    """Providers at each origin by window of time: window_start, coord_id, supply. For a stream or a table."""
-    seen = sightings.withWatermark("seen_at", late).withColumn("w", F.window("seen_at", window))
-    return seen.groupBy("w", "coord_id").agg(F.approx_count_distinct("npi", 0.01).alias("supply")).select(F.col("w.start").alias("window_start"), "coord_id", "supply")
+    """Distinct providers at each origin by window of time: window_start, coord_id, supply. For a stream or a table.
+
+    Sightings of a provider that the window has already are dropped first, so
+    counts are exact; the state of both steps goes with the window.
+    """
+    seen = sightings.withWatermark("seen_at", late).withColumn("w", F.window("seen_at", window)).select("w", "coord_id", "npi")
+    once = seen.where("npi is not null").dropDuplicates(["w", "coord_id", "npi"])
+    return once.groupBy("w", "coord_id").agg(F.count("*").alias("supply")).select(F.col("w.start").alias("window_start"), "coord_id", "supply")
