@@ -18,8 +18,11 @@ exact Jaccard similarity, and the documents at or above the threshold are
 linked; a class is a component. Equal texts are one content from the start.
 
 Defined cases: null texts, empty texts and texts without words are classes of
-their own. Rows with the same doc_id are one document, in the class of the
-least content that they have. Empty tables give empty results.
+their own. Rows that are equal in doc_id and text are one document; rows of one
+doc_id with other texts are documents of their own, each in the class of its
+text. A class has the least doc_id of its documents, and rows without a doc_id
+come after all others. Empty tables give empty results. Other columns, whatever
+their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import blocks, checkpointed, digest, mix, table, utf8, written
+from reachwell.llm.common import blocks, checkpointed, digest, mix, rows_of, table, unused, utf8, written
 from reachwell.llm.decontamination import spaced
 from reachwell.llm.similarity import BROADCAST_ROWS, linked, small, verified
 
@@ -173,16 +176,16 @@ def sets(contents: DataFrame, weights: str = "set") -> DataFrame:
     return contents.select("id", "text").mapInArrow(run, "id long, items array<long>")
 
 
-def classes(docs: DataFrame, least: float = LEAST, weights: str = "set") -> DataFrame:
-    """Per doc_id: class_id (the least doc_id of its class), kept (whether it is that one)."""
+def classified(docs: DataFrame, least: float = LEAST, weights: str = "set") -> DataFrame:
+    """Per document, that is, per doc_id and text: doc_id, h and g (the text's digest), n (its rows), class_id, kept."""
     contents = docs.select("doc_id", *digest("text"), "text")
-    some = contents.where("text is not null")
-    signed = banded(some, weights).groupBy("h", "g").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
+    some = contents.where("text is not null").withColumn("who", F.xxhash64("doc_id"))  # never null
+    signed = banded(some.drop("doc_id"), weights).groupBy("h", "g").agg(F.first("keys").alias("keys"), F.min("who").alias("who"))
     signed = written(signed.withColumn("id", F.monotonically_increasing_id()))  # numbers contents once and for all
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = checkpointed(signed.select("h", "g", "doc_id", "id").join(small(checkpointed(ids)), "id"))
-        return sets(some.join(small(own), ["h", "g", "doc_id"]).select("id", "text"), weights).groupBy("id").agg(F.first("items").alias("items"))  # one row of each content
+        own = checkpointed(signed.select("h", "g", "who", "id").join(small(checkpointed(ids)), "id"))
+        return sets(some.join(small(own), ["h", "g", "who"]).select("id", "text"), weights).groupBy("id").agg(F.first("items").alias("items"))  # one row of each content
 
     def verify(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         own = written(sets_of(ids))
@@ -192,22 +195,38 @@ def classes(docs: DataFrame, least: float = LEAST, weights: str = "set") -> Data
     ids = signed.select("h", "g", "id")
     roots = ids.join(found, "id").join(ids.select(F.col("id").alias("component"), F.col("h").alias("root_h"), F.col("g").alias("root_g")).join(small(checkpointed(found.select("component").distinct())), "component", "left_semi"), "component")
     roots = checkpointed(roots.select("h", "g", "root_h", "root_g"))
-    words = F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    # A text without words shares its content with no other row.
-    own = contents.select("doc_id", F.when(F.coalesce(words, F.lit(False)), F.struct("h", "g")).alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
-    own = own.select("doc_id", "c.h", "c.g")
-    worded = own.where("h is not null").join(small(roots), ["h", "g"], "left")
-    worded = checkpointed(worded.select("doc_id", F.coalesce("root_h", "h").alias("h"), F.coalesce("root_g", "g").alias("g")))
-    least_id = checkpointed(worded.groupBy("h", "g").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    worded = worded.join(small(least_id), ["h", "g"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    alone = own.where("h is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return worded.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    words = F.coalesce(F.regexp_like("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")), F.lit(False))
+    own = contents.select("doc_id", "h", "g", words.alias("worded")).groupBy("doc_id", "h", "g").agg(F.bool_or("worded").alias("worded"), F.count("*").alias("n"))
+    own = checkpointed(own.join(small(roots), ["h", "g"], "left").select("doc_id", "h", "g", "worded", "n", F.coalesce("root_h", "h").alias("x"), F.coalesce("root_g", "g").alias("y")))
+    # A text without words shares its class with no other row. A class keeps its first document, told by a hash.
+    spot, name = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "g"), F.xxhash64("doc_id", "h", "g")
+    firsts = own.where("worded").groupBy("x", "y").agg(F.min("doc_id").alias("class_id"), F.min_by(name, spot).alias("first"), F.count("*").alias("size"))
+    firsts = checkpointed(firsts.where("size > 1").drop("size"))
+    joined = own.where("worded").join(small(firsts), ["x", "y"], "left").select("doc_id", "h", "g", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("first") == name, F.lit(True)).alias("kept"))
+    return joined.unionByName(own.where("not worded").select("doc_id", "h", "g", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def classes(docs: DataFrame, least: float = LEAST, weights: str = "set") -> DataFrame:
+    """Per document (doc_id and text): doc_id, class_id (the least doc_id of its class), kept (whether it stands for the class)."""
+    return classified(docs, least, weights).select("doc_id", "class_id", "kept")
 
 
 def dedup(docs: DataFrame, least: float = LEAST, weights: str = "set") -> DataFrame:
-    """The rows of ``docs``, all columns, of the least doc_id in each class."""
-    gone = checkpointed(classes(docs, least, weights).where("not kept").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs``, all columns, of each class, and all rows without words."""
+    found = checkpointed(classified(docs, least, weights).where("not kept or n > 1").select(F.col("doc_id").alias("of"), "h", "g", "kept"))
+    row, h, g, of = (unused(c, docs.columns) for c in ("row", "h", "g", "of"))
+    hashes = digest("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("doc_id").alias(of), hashes[0].alias(h), hashes[1].alias(g))
+
+    def among(own: DataFrame, how: str) -> DataFrame:
+        own = F.broadcast(own) if rows_of(own) <= BROADCAST_ROWS else own
+        return rows.join(own, (rows[h] == own["h"]) & (rows[g] == own["g"]) & rows[of].eqNullSafe(own["of"]), how)
+
+    left = among(found, "left_anti").select(row)
+    again = checkpointed(found.where("kept").drop("kept"))
+    if rows_of(again):  # documents of several rows; tasks keep one of each before these meet
+        left = left.unionByName(among(again, "left_semi").groupBy(of, h, g).agg(F.first(row).alias(row)).select(row))
+    return left.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
