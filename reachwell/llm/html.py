@@ -4,12 +4,15 @@ A page is cut into blocks of text, each with the chain of containers around it.
 Containers get the length of the text below them that is not in links, the
 nearer the more, an article or main element the most. Each page votes for the
 generalised path (tags and classes, digits folded; kept as a digest, however
-deep) of its best container, widened to the containers around it as long as
-they add text that is not mostly links, up to an article or main element. The
+deep) of its best container, or of the article or main element around it. The
 votes are summed by host and path in Spark, and a page's text is then taken
-from the most voted path of its host that it has, widened in the same way, so an
-article in several sibling containers is whole. A page that has none of them
-keeps its own best container, and a page without containers all its blocks.
+from the most voted path of its host that it has. Outside of articles that
+container is widened to those around it as long as they add text that is not
+mostly links, so an article in several sibling containers is whole; but what is
+added, and stands on many of the host's pages in the same words, is a notice, an
+advert or the like and left out. Such blocks are counted by host as well. A page
+that has none of the paths keeps its own best container, and a page without
+containers all its blocks.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out wherever they stand; they are
@@ -31,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -42,6 +45,8 @@ from reachwell.llm.common import blocks, checkpointed, table
 
 #: Paths of a host that count, and the least share of the first one's votes that another needs.
 PATHS, LEAST_SHARE = 3, 0.2
+#: Pages of a host, and their least share, on which a block beside the article stands if it isn't part of it.
+REPEATED, REPEATED_SHARE = 3, 0.1
 #: Bytes of hosts and paths up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -62,11 +67,11 @@ LEFT_OUT = frozenset("head nav footer aside form button select option datalist d
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre s small span strong sub sup table tt u ul var article section main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Left out by a word of class or id: always, or unless a word says that it is the content.
-ALWAYS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond reply replies disqus cookie cookies consent gdpr newsletter subscribe share sharing social related breadcrumb breadcrumbs pagination pager menu nav navbar navigation".split())
+ALWAYS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist respond reply replies disqus cookie cookies consent gdpr newsletter subscribe response responses share sharing social related breadcrumb breadcrumbs pagination pager menu nav navbar navigation".split())
 UNLESS = frozenset("header footer sidebar side aside rail masthead topbar toolbar notice notices alert banner popup modal overlay promo promotion promoted search login signup widget widgets recommended recommendations disclaimer".split())
 CONTENT = frozenset("content main article post entry story body text".split())
 #: Words for layout, which say nothing of what an element holds.
-LAYOUT = frozenset("area bar block bottom box button buttons col column container count feed form group head icon icons inner item items left link links list main module outer page panel right row section site slot title top unit wrap wrapper zone js".split())
+LAYOUT = frozenset("area bar block bottom box button buttons col column container count feed form group head icon icons inner item items left link links list main module outer page panel reader readers right row section site slot title top unit user users visitor visitors wrap wrapper zone js".split())
 
 
 def host_of(url: str | None) -> str:
@@ -196,7 +201,7 @@ class Page:
         return container
 
     def best(self) -> tuple[int, float]:
-        """The best container, widened, or -1, and its share of the page's scores."""
+        """The best container, or the article around it, or -1, and its share of the page's scores."""
         scores: dict[int, float] = defaultdict(float)
         for chain, block, linked in self.blocks:
             n = max(0, len(block) - 2 * linked)
@@ -209,53 +214,78 @@ class Page:
             return -1, 0.0
         best = max(sorted(scores), key=scores.get)
         share = scores[best] / (sum(scores.values()) or 1)
-        return self.widened(best), share
-
-    def text(self, paths: list[str]) -> str:
-        """The text below the first of the paths that has any."""
+        wide = self.widened(best)
+        return (wide if wide in self.articles else best), share
+
+    def beside(self, container: int) -> set[int]:
+        """Digests of the blocks that widening adds to a container."""
+        wide = self.widened(container)
+        if wide == container or wide in self.articles:
+            return set()
+        return {digest_of(block) for chain, block, _ in self.blocks if wide in chain and container not in chain}
+
+    def text(self, paths: list[str], repeated: Collection[int] = ()) -> str:
+        """The text below the first of the paths that has any, widened, without what is added and ``repeated`` on the host."""
         best = self.best()[0]
         for path in [*paths, self.paths[best] if best >= 0 else ""]:
-            own = {self.widened(c) for c, p in enumerate(self.paths) if p == path and self.sums[c][0]}
-            if own:
-                return " ".join(block for chain, block, _ in self.blocks if not own.isdisjoint(chain))
+            named = {c for c, p in enumerate(self.paths) if p == path and self.sums[c][0]}
+            if named:
+                own, gone = {self.widened(c) for c in named}, set(repeated)
+                articles = own & self.articles
+                return " ".join(block for chain, block, _ in self.blocks if not own.isdisjoint(chain) and not (gone and named.isdisjoint(chain) and articles.isdisjoint(chain) and digest_of(block) in gone))
         return " ".join(block for _, block, _ in self.blocks)
 
 
+def digest_of(block: str) -> int:
+    """A signed 64-bit digest of a block's text."""
+    return int.from_bytes(hashlib.blake2b(block.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """The paths of each host: host, paths (most voted first)."""
+    """What each host's pages agree on: host, paths (most voted first), repeated (digests of blocks beside the article)."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "html"):
-            found: dict[tuple[str, str], float] = defaultdict(float)
+            found: dict[tuple[str, str | None, int | None], list[float]] = defaultdict(lambda: [0.0, 0])
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = Page(html)
+                page, host = Page(html), host_of(url)
                 best, share = page.best()
-                if best >= 0:
-                    found[host_of(url), page.paths[best]] += share
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.float64())], ["host", "path", "share"])
-
-    sums = pages.select("url", "html").mapInArrow(vote, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
+                if best < 0:
+                    continue
+                for key, v in [((host, page.paths[best], None), share), *(((host, None, d), 0.0) for d in page.beside(best))]:
+                    found[key][0] += v
+                    found[key][1] += 1
+            columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v[i] for v in found.values()], t) for i, t in enumerate((pa.float64(), pa.int64())))], ["host", "path", "beside", "share", "pages"])
+
+    sums = pages.select("url", "html").mapInArrow(vote, "host string, path string, beside long, share double, pages long")
+    sums = checkpointed(sums.groupBy("host", "path", "beside").agg(F.round(F.sum("share"), 6).alias("votes"), F.sum("pages").alias("pages")))
     best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    top = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PATHS)
+    top = sums.where("path is not null").withColumn("place", F.row_number().over(best)).withColumn("whole", F.sum("pages").over(Window.partitionBy("host"))).where(F.col("place") <= PATHS)
     ordered = F.array_sort(F.collect_list(F.struct("place", "votes", "path")))
-    top = top.groupBy("host").agg(ordered.alias("top"))
-    return top.select("host", F.expr(f"transform(filter(top, x -> x.votes >= {LEAST_SHARE} * top[0].votes), x -> x.path)").alias("paths"))
+    top = top.groupBy("host").agg(ordered.alias("top"), F.max("whole").alias("whole"))
+    often = sums.where(f"beside is not null and pages >= {REPEATED}").join(top.select("host", "whole"), "host").where(F.col("pages") >= REPEATED_SHARE * F.col("whole"))
+    often = often.groupBy("host").agg(F.array_sort(F.collect_list("beside")).alias("repeated"))  # each stands on a tenth of the pages
+    top = top.select("host", F.expr(f"transform(filter(top, x -> x.votes >= {LEAST_SHARE} * top[0].votes), x -> x.path)").alias("paths"))
+    return top.join(often, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text. ``pages`` has page_id, url and html."""
     hosts = checkpointed(votes(pages))
-    size = hosts.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws("", "paths")) + 64), F.lit(0))).head()[0]
+    of_host = F.octet_length("host") + F.octet_length(F.concat_ws("", "paths")) + 8 * F.coalesce(F.size("repeated"), F.lit(0)) + 64
+    size = hosts.agg(F.coalesce(F.sum(of_host), F.lit(0))).head()[0]
     own = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1)))
     own = own.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "html"):
-            texts = [Page(h).text(p or []) for h, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "repeated")), strict=True)
+            texts = [Page(h).text(p or [], r or ()) for h, p, r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return own.select("page_id", "url", "html", "paths").mapInArrow(take, f"page_id {kind}, url string, text string")
+    return own.select("page_id", "url", "html", "paths", "repeated").mapInArrow(take, f"page_id {kind}, url string, text string")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,30 @@ def test_query_against_the_articles_of_the_pages(spark):
         squeezed = "".join(words.split())
         assert "".join(found[r["page_id"]].split()) in squeezed
         assert len("".join(found[r["page_id"]].split())) > 0.6 * len(squeezed)
+
+
+def test_what_a_host_repeats_beside_its_articles(spark):
+    """Adverts and footers in plain containers stand in the same words on every page; the article doesn't."""
+    page = "<body><div class=story><h1>T{0}</h1><p>{1}</p></div><div class=xk29>Buy our shoes now for half of the price, today only.</div><div class=copy>Copyright 2020 by the paper.</div></body>"
+    pages = [(i, "http://h.example/p", page.format(i, f"The body of page {i} is here. " * (2 + i % 3))) for i in range(12)]
+    rows = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"T{i} " + " ".join([f"The body of page {i} is here."] * (2 + i % 3)) for i in range(12)}
+
+
+def test_repeated_text_within_an_article_stays(spark):
+    page = "<body><article><div class=a><p>{0} is the subject of this page and of its text.</p></div><div class=b><p>This text is free to use.</p></div></article><div class=z>All about us, on every page.</div></body>"
+    pages = [(i, "http://h.example/p", page.format(f"Number {i}")) for i in range(12)]
+    rows = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string, host string, paths string, repeated string".split(", host")[0])).collect()
+    assert {r["text"] for r in rows} == {f"Number {i} is the subject of this page and of its text. This text is free to use." for i in range(12)}
+
+
+def test_readers_comments_by_name():
+    assert text("<body><article><p>Body.</p><div class=reader-responses>I think so too.</div><div class=user-comments>No.</div></article></body>") == "Body."
+    assert text("<body><article><div class=reader><p>Body.</p></div></article></body>") == "Body."
+
+
+def test_ties_of_votes_and_clashing_columns(spark):
+    pages = [(i, "http://t.example/", f"<body><div class={'a' if i % 2 else 'b'}><p>Text of page {i}, as long as the others.</p></div></body>", "x", "y") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string, path string")
+    found = [sorted(map(tuple, html.extract(d).collect())) for d in (df, df.repartition(5))]
+    assert found[0] == found[1] == [(i, "http://t.example/", f"Text of page {i}, as long as the others.") for i in range(8)]
