@@ -42,3 +42,5 @@ SPECIALTY_CODES = {
 }
 #: Age bands of demand by the survey's columns from and to (fixed values).
 AGE_BANDS = {"adult_18p": (31, 49), "repro_1544": (30, 38), "repro_1549": (30, 39), "age_1854": (31, 40), "girls_019": (27, 31), "age_40p": (38, 49)}
+#: Words that claim a standard of need, which access has none of (fixed values).
+NORMATIVE_TERMS = ("shortage", "surplus", "adequacy", "adequate", "inadequate", "unmet need", "unmet needs", "need met", "needs met", "undersupply", "oversupply", "under-supply", "over-supply", "sufficient", "insufficient")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachwell.constants import STATE_LOSS
+from reachwell.constants import NORMATIVE_TERMS, STATE_LOSS
 
 SHOWN = 5
 
@@ -97,3 +97,11 @@ def partition_unknown(df: DataFrame, column: str = "access") -> tuple[DataFrame,
     unknown = ~finite(F.col(column))
     account = df.agg(F.coalesce(F.sum(unknown.cast("long")), F.lit(0)).alias("n_unknown"), F.coalesce(F.avg(unknown.cast("double")), F.lit(0.0)).alias("frac_unknown"))
     return df.where(~unknown), account
+
+
+def neutral(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, if no text of the columns has a normative term as a whole word, in whatever case."""
+    terms = "|".join(t.replace("-", "\\-") for t in NORMATIVE_TERMS)
+    for c in columns:
+        _refuse(f"normative term in {c}", df.where(F.col(c).rlike(rf"(?i)\b({terms})\b")), c)
+    return df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachwell.constants import DECAY_SCHEMES, REACHED_PERCENT
+from reachwell.functions.inference import trends
 from reachwell.functions.ranges import running
 from reachwell.functions.stats import ratio
 
@@ -72,10 +73,23 @@ def age_restricted(cover: DataFrame, bands: Mapping[str, str]) -> DataFrame:
 
 
 def band_matrix(series: DataFrame, first: int, last: int) -> DataFrame:
-    """Percent of each specialty and band in the first and last year and the change, with slope and r2 over the years."""
+    """Percent of each specialty and band in the first and last year and the change, with slope, r2 and p-value over the years up to the last."""
     p, y = F.col("percent"), F.col("year")
     by = series.groupBy("specialty", "band").agg(F.max(F.when(y == first, p)).alias("first"), F.max(F.when(y == last, p)).alias("last"), F.regr_slope(p, y.cast("double")).alias("slope"), F.regr_r2(p, y.cast("double")).alias("r2"))
-    return by.withColumn("change", F.col("last") - F.col("first"))
+    by = by.withColumn("change", F.col("last") - F.col("first"))
+    return by.join(trends(series, "year", "percent", "specialty", "band", last_year=last).select("specialty", "band", "p"), ["specialty", "band"], "left")
+
+
+def provider_density(cover: DataFrame, providers: DataFrame, per: float = 1e4) -> DataFrame:
+    """Providers for each ``per`` people covered and for each ``per`` people in all: specialty, n_providers, covered_pop, per_covered, per_all.
+
+    ``cover`` has specialty, pop and percent, ``providers`` specialty and npi;
+    a specialty without providers has 0.
+    """
+    by = cover.groupBy("specialty").agg(F.sum(F.col("pop") * fraction(F.col("percent"))).alias("covered_pop"), F.sum("pop").alias("pop"))
+    counts = providers.groupBy("specialty").agg(F.count_distinct("npi").alias("n_providers"))
+    rows = by.join(counts, "specialty", "left").fillna(0, ["n_providers"])
+    return rows.select("specialty", "n_providers", "covered_pop", (per * ratio(F.col("n_providers"), F.col("covered_pop"))).alias("per_covered"), (per * ratio(F.col("n_providers"), F.col("pop"))).alias("per_all"))
 
 
 def composites(bands: DataFrame, key: str, schemes: Mapping[str, Mapping[int, float]] = DECAY_SCHEMES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachwell import guards
-from reachwell.constants import CLAIM_LEVEL, MATERIAL_CHANGE, SEAM_MEAN, SEAM_SHARE, THRESHOLDS
+from reachwell.constants import CLAIM_LEVEL, EPSILON, MATERIAL_CHANGE, SEAM_MEAN, SEAM_SHARE, THRESHOLDS
 from reachwell.functions.stats import quantile_linear, ratio
 
 #: What is estimated, by id (fixed values).
@@ -202,3 +202,33 @@ def gates(summary: DataFrame, total: float, within: float = 0.005) -> DataFrame:
     """
     bad = F.abs(F.col("mass") - total) > within * abs(total)
     return summary.where(bad | (F.col("least") < 0) | ~guards.finite(F.col("mass")))
+
+
+#: Ratios of a result table and what they are made of (fixed names).
+RATIOS = {"rural_metro_ratio": ("rural", "metro"), "aian_white_ratio": ("aian", "white")}
+
+
+def invariants(results: DataFrame, outside_: DataFrame | None = None, within: float = 1e-6, exact: float = 1e-9) -> DataFrame:
+    """What can't be in results whatever the data: check, variant, subspec, what; no rows if they hold.
+
+    ``results`` has variant, subspec, national, national_check, metro, rural,
+    white, aian and the ratios of ``RATIOS``; ``outside_`` subspec, minutes and
+    pct_outside. Two routes to the national mean must agree, ratios be those of
+    their columns, access be finite and not negative, each variant cover each
+    specialty once, and no wider catchment leave more people outside.
+    """
+    n, c = F.col("national"), F.col("national_check")
+    tests = [("two_routes", "national", F.abs(n - c) > within * F.greatest(F.abs(n), F.lit(EPSILON)))]
+    tests += [("derived_ratio", r, F.abs(F.col(r) - F.col(a) / F.nullif(F.col(b), F.lit(0.0))) > exact) for r, (a, b) in RATIOS.items()]
+    for v in ("national", "metro", "rural", "white", "aian"):
+        tests += [("negative", v, F.coalesce(F.col(v) < 0, F.lit(False))), ("not_finite", v, ~guards.finite(F.col(v)))]
+    failed = F.filter(F.array(*[F.when(t, F.struct(F.lit(k).alias("check"), F.lit(w).alias("what"))) for k, w, t in tests]), lambda x: x.isNotNull())
+    out = results.select("variant", "subspec", F.inline(failed)).select("check", "variant", "subspec", "what")
+    names = results.agg(F.count_distinct("subspec").alias("all"))
+    ragged = results.groupBy("variant").agg(F.count("*").alias("n"), F.count_distinct("subspec").alias("own")).crossJoin(F.broadcast(names)).where("n != all or own != all")
+    out = out.unionByName(ragged.select(F.lit("ragged").alias("check"), "variant", F.lit(None).cast("string").alias("subspec"), F.lit("subspec").alias("what")))
+    if outside_ is not None:
+        before = F.lag("pct_outside").over(Window.partitionBy("subspec").orderBy("minutes"))
+        wider = outside_.withColumn("before", before).where(F.col("pct_outside") > F.col("before") + exact)
+        out = out.unionByName(wider.select(F.lit("not_nested").alias("check"), F.lit(None).cast("string").alias("variant"), "subspec", F.col("minutes").cast("string").alias("what")))
+    return out

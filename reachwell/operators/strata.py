@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,20 @@ def stratified(rows: DataFrame, groups: Sequence[str], *keys: str, stratum: str
     return out.unionByName(race.withColumn("stratum_type", F.lit("group")))
 
 
+def with_endpoints(parts: Mapping[str, DataFrame], *keys: str, value: str = "mean_access", year: str = "year") -> tuple[DataFrame, DataFrame]:
+    """Tables of strata as one long table tagged by their type, and each stratum's first and last year with its value.
+
+    The endpoints have stratum_type, keys, stratum, first_year, first, last_year, last and change.
+    """
+    long = None
+    for kind, part in parts.items():
+        own = part.withColumn("stratum_type", F.lit(kind))
+        long = own if long is None else long.unionByName(own)
+    known = long.where(guards.finite(F.col(value)))
+    ends = known.groupBy("stratum_type", *keys, "stratum").agg(F.min(year).alias("first_year"), F.min_by(value, year).alias("first"), F.max(year).alias("last_year"), F.max_by(value, year).alias("last"))
+    return long, ends.withColumn("change", F.col("last") - F.col("first"))
+
+
 def relabel(df: DataFrame, mapping: DataFrame, year: int, check: bool = True) -> DataFrame:
     """``df`` with planning-region tracts renamed to the older ones, from 2022 on.
 

@@ -338,7 +338,11 @@ def _series(b: Binding) -> DataFrame:
     return rows.groupBy(F.col("segment").alias("specialty"), "band", "year").agg((stats.ratio(F.sum(F.col("pop") * p), F.sum("pop")) * 100).alias("percent"))
 
 
-@query(f"SELECT specialty, band, {r('max(CASE WHEN year = 2013 THEN percent END) AS first', 'max(CASE WHEN year = 2023 THEN percent END) AS last', 'regr_slope(percent, year) AS slope', 'regr_r2(percent, year) AS r2', 'max(CASE WHEN year = 2023 THEN percent END) - max(CASE WHEN year = 2013 THEN percent END) AS change')} FROM ser GROUP BY 1, 2", _SERIES)
+_BAND_P = f"""SELECT specialty, band, round(CASE WHEN e <= 1e-14 * syy THEN 0 ELSE {_P} END, 6) + CAST(0 AS DOUBLE) AS p FROM (SELECT *, n - 2 AS nu, atan(abs(slope) / sqrt(nullif(greatest(e, 0), 0) / (n - 2) / sxx) / sqrt(n - 2)) AS th FROM (
+  SELECT *, syy - slope * slope * sxx AS e FROM (SELECT specialty, band, count(*) AS n, regr_slope(percent, year) AS slope, regr_sxx(percent, year) AS sxx, regr_syy(percent, year) AS syy FROM ser GROUP BY 1, 2)))"""
+
+
+@query(f"SELECT * FROM (SELECT specialty, band, {r('max(CASE WHEN year = 2013 THEN percent END) AS first', 'max(CASE WHEN year = 2023 THEN percent END) AS last', 'regr_slope(percent, year) AS slope', 'regr_r2(percent, year) AS r2', 'max(CASE WHEN year = 2023 THEN percent END) - max(CASE WHEN year = 2013 THEN percent END) AS change')} FROM ser GROUP BY 1, 2) JOIN ({_BAND_P}) USING (specialty, band)", _SERIES)
 def band_matrix(b: Binding) -> DataFrame:
     return coverage.band_matrix(_series(b), 2013, 2023)
 
@@ -568,3 +572,44 @@ def moved_results(b: Binding) -> DataFrame:
     before = _record(b, lambda m: m, lambda o: o).withColumn("context", F.struct(F.lit(0).cast("long").alias("rows"), F.lit("0.9").alias("version")))
     found = compare.differences(before, moved, ["specialty"], ignore=["context"])
     return found.select("specialty", "path", "kind", F.col("before").isNotNull().alias("had"))
+
+
+@query(
+    f"""SELECT specialty, n_providers, {r('covered_pop', '1e4 * n_providers / nullif(covered_pop, 0) AS per_covered', '1e4 * n_providers / pop AS per_all')} FROM (
+  SELECT specialty, sum(pop * greatest(0, least(1, percent / 100))) AS covered_pop, sum(pop) AS pop FROM cover GROUP BY 1) JOIN (SELECT chr(65 + CAST(npi % 3 AS INTEGER)) || chr(65 + CAST(npi % 3 AS INTEGER)) AS specialty, count(*) AS n_providers FROM cohort GROUP BY 1
+  UNION ALL SELECT 'DD', 0) USING (specialty)"""
+)
+def provider_density(b: Binding) -> DataFrame:
+    """Of four specialties, of which the last has no provider."""
+    names = F.array(F.lit("AA"), F.lit("BB"), F.lit("CC"))
+    return coverage.provider_density(b.cover, b.cohort.select("npi", names[(F.col("npi") % 3).cast("int")].alias("specialty")))
+
+
+@query(
+    f"""SELECT stratum_type, stratum, CAST(min(year) AS INTEGER) AS first_year, {r('arg_min(v, year) AS first', 'arg_max(v, year) AS last', 'arg_max(v, year) - arg_min(v, year) AS change')}, CAST(max(year) AS INTEGER) AS last_year FROM (
+  SELECT 'band' AS stratum_type, CAST(band AS VARCHAR) AS stratum, year, avg(percent) AS v FROM ser GROUP BY 1, 2, 3 UNION ALL SELECT 'specialty', specialty, year, avg(percent) FROM ser GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    _SERIES,
+)
+def stratum_endpoints(b: Binding) -> DataFrame:
+    by = lambda c: _series(b).groupBy(F.col(c).cast("string").alias("stratum"), "year").agg(F.avg("percent").alias("mean_access"))
+    return strata.with_endpoints({"band": by("band"), "specialty": by("specialty")})[1]
+
+
+@query(
+    """SELECT 'two_routes' AS "check", variant, subspec, 'national' AS what FROM sens3 WHERE variant = 'slower' AND subspec < 'C' UNION ALL SELECT 'derived_ratio', variant, subspec, 'rural_metro_ratio' FROM sens3 WHERE variant = 'm2sfca' AND subspec = 'FURNITURE'
+  UNION ALL SELECT 'negative', variant, subspec, 'metro' FROM sens3 WHERE variant = 'sharper' AND subspec = 'MACHINERY' UNION ALL SELECT 'derived_ratio', variant, subspec, 'rural_metro_ratio' FROM sens3 WHERE variant = 'sharper' AND subspec = 'MACHINERY'
+  UNION ALL SELECT 'not_finite', variant, subspec, 'white' FROM sens3 WHERE variant = 'drop180' AND subspec = 'BUILDING' UNION ALL SELECT 'ragged', 'gaussian', NULL, 'subspec' UNION ALL SELECT 'not_nested', NULL, subspec, '120' FROM (SELECT DISTINCT subspec FROM sens3) WHERE subspec < 'C'""",
+    _SENS,
+)
+def frozen_invariants(b: Binding) -> DataFrame:
+    """A result table with one fault of each kind."""
+    at = lambda v, s: (F.col("variant") == v) & (F.col("subspec") == s)
+    rows = _sens(b).select("variant", "subspec", "national", F.lit(2.0).alias("metro"), (2 * F.col("rural_metro_ratio")).alias("rural"), F.lit(4.0).alias("white"), (4 * F.col("aian_white_ratio")).alias("aian"), "rural_metro_ratio", "aian_white_ratio")
+    rows = rows.withColumn("national_check", F.when((F.col("variant") == "slower") & (F.col("subspec") < "C"), F.col("national") * 1.1 + 1).otherwise(F.col("national")))
+    rows = rows.withColumn("rural_metro_ratio", F.when(at("m2sfca", "FURNITURE"), F.col("rural_metro_ratio") + 0.1).otherwise(F.col("rural_metro_ratio")))
+    rows = rows.withColumn("metro", F.when(at("sharper", "MACHINERY"), -2.0).otherwise(F.col("metro"))).withColumn("white", F.when(at("drop180", "BUILDING"), float("inf")).otherwise(F.col("white")))
+    rows = rows.withColumn("aian", F.when(at("drop180", "BUILDING"), 0.0).otherwise(F.col("aian"))).withColumn("aian_white_ratio", F.when(at("drop180", "BUILDING"), 0.0).otherwise(F.col("aian_white_ratio")))
+    rows = rows.where(~at("gaussian", "HOUSEHOLD"))
+    names = _sens(b).select("subspec").distinct()
+    outside = names.select("subspec", F.explode(F.array(*[F.struct(F.lit(m).alias("minutes"), F.lit(float(p)).alias("p")) for m, p in ((60, 30), (120, 20), (180, 10))])).alias("x")).select("subspec", "x.minutes", (F.col("x.p") + F.when((F.col("subspec") < "C") & (F.col("x.minutes") == 120), 15).otherwise(0)).alias("pct_outside"))
+    return robustness.invariants(rows, outside)

@@ -73,3 +73,57 @@ def read_manifest(path: str, **expected: object) -> dict:
     if wrong := {k: found.get(k) for k, v in expected.items() if found.get(k) != v}:
         raise CatchmentError(f"manifest {path} has other values: {wrong}")
     return found
+
+
+def frozen_manifest(path: str, digest_path: str) -> dict:
+    """A JSON manifest whose digest is still the one recorded beside it; specifications must have ids of their own."""
+    recorded = Path(digest_path).read_text(encoding="utf-8").split()
+    text = Path(path).read_bytes()
+    if not recorded or hashlib.sha256(text).hexdigest() != recorded[0]:
+        raise CatchmentError(f"manifest {path} has changed since it was frozen: make a new version with a new digest")
+    found = json.loads(text)
+    ids = [s.get("id") for s in found.get("specifications", [])]
+    if repeated := sorted({i for i in ids if ids.count(i) > 1}, key=str):
+        raise CatchmentError(f"manifest {path} repeats {', '.join(map(str, repeated))}")
+    return found
+
+
+def complete_run(manifest: dict, results: DataFrame) -> DataFrame:
+    """``results``, if every variant that the manifest calls frozen is among them."""
+    want = {s["variant"] for s in manifest.get("specifications", []) if s.get("status") == "frozen"}
+    have = {r[0] for r in results.select("variant").distinct().collect()}
+    if missing := sorted(want - have):
+        raise CatchmentError(f"variants of the manifest weren't run: {', '.join(missing)}")
+    return results
+
+
+def environment() -> dict[str, str]:
+    """Versions that numbers may depend on."""
+    import platform
+
+    import numpy
+    import pandas
+    import pyarrow
+    import pyspark
+
+    return {"python": platform.python_version(), "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__, "spark": pyspark.__version__}
+
+
+def locked_environment(path: str) -> dict[str, str]:
+    """The environment, if it is the one of the lock file (JSON); an error that names what drifted."""
+    want, have = json.loads(Path(path).read_text(encoding="utf-8")), environment()
+    if drift := sorted(k for k in want.keys() | have.keys() if want.get(k) != have.get(k)):
+        raise CatchmentError("environment differs from the lock: " + ", ".join(f"{k} {want.get(k)} -> {have.get(k)}" for k in drift))
+    return have
+
+
+def staged(spark: SparkSession, *paths: str) -> None:
+    """An error that names the inputs that aren't there, before anything is computed."""
+    context = spark.sparkContext
+    missing = []
+    for p in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at):
+            missing.append(p)
+    if missing:
+        raise CatchmentError(f"inputs aren't staged: {', '.join(missing)}")

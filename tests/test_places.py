@@ -1,5 +1,6 @@
 """Places of work, fitted models, checks that refuse, streams and settings."""
 
+import json
 import math
 import random
 
@@ -7,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reachwell import guards
 from reachwell.constants import RACE_FEMALE, TOTAL_FEMALE
 from reachwell.guards import CatchmentError
 from reachwell.operators import access, centroid, classify, coverage, geometry, grid, robustness, scenario, sites, supply
-from reachwell.sources import readers
+from reachwell.sources import readers, sinks
 from reachwell.streaming.supply import windowed_supply
 
 LOCATIONS = "npi string, address_key string, place int, zip5 string, lat double, lon double, is_primary string, rural string"
@@ -202,3 +204,40 @@ def test_stream_counts_each_provider_once(spark, tmp_path):
     table = spark.createDataFrame([r for f in files[:2] for r in f], schema).withColumn("seen_at", F.to_timestamp("seen_at"))
     want = sorted((r["coord_id"], r["supply"]) for r in windowed_supply(table, "10 days").collect())
     assert got == want == [("a", 2), ("b", 1)]
+
+
+def test_locks_and_staged_inputs(spark, tmp_path):
+    lock = tmp_path / "lock.json"
+    sinks.write_atomic(str(lock), json.dumps(sinks.environment()))
+    assert sinks.locked_environment(str(lock)) == sinks.environment()
+    sinks.write_atomic(str(lock), json.dumps(sinks.environment() | {"numpy": "0.1", "geos": "3"}))
+    with pytest.raises(CatchmentError, match="geos 3 -> None, numpy 0.1 -> "):
+        sinks.locked_environment(str(lock))
+    spark.range(1).write.parquet(f"{tmp_path}/here")
+    sinks.staged(spark, f"{tmp_path}/here", str(lock))
+    with pytest.raises(CatchmentError, match="aren't staged: .*/gone"):
+        sinks.staged(spark, f"{tmp_path}/here", f"{tmp_path}/gone")
+
+
+def test_frozen_manifest(spark, tmp_path):
+    man, digest = tmp_path / "m.json", tmp_path / "m.sha256"
+    digest.write_text(sinks.write_atomic(str(man), json.dumps({"specifications": [{"id": 1, "variant": "base", "status": "frozen"}, {"id": 2, "variant": "res500", "status": "frozen"}, {"id": 3, "variant": "later", "status": "pipeline"}]})) + "  m.json\n")
+    found = sinks.frozen_manifest(str(man), str(digest))
+    rows = spark.createDataFrame([("base",), ("res500",)], "variant string")
+    assert sinks.complete_run(found, rows) is rows
+    with pytest.raises(CatchmentError, match="weren't run: res500"):
+        sinks.complete_run(found, rows.where("variant = 'base'"))
+    man.write_text(man.read_text() + " ")
+    with pytest.raises(CatchmentError, match="has changed since it was frozen"):
+        sinks.frozen_manifest(str(man), str(digest))
+    digest.write_text(sinks.write_atomic(str(man), json.dumps({"specifications": [{"id": 1}, {"id": 1}]})))
+    with pytest.raises(CatchmentError, match="repeats 1"):
+        sinks.frozen_manifest(str(man), str(digest))
+
+
+def test_neutral_labels(spark):
+    good = spark.createDataFrame([("mean access",), ("inadequately phrased",), (None,)], "label string")
+    assert guards.neutral(good, "label").count() == 3
+    for bad in ("Provider SHORTAGE in rural tracts", "an under-supply", "unmet needs"):
+        with pytest.raises(CatchmentError, match="normative term in label"):
+            guards.neutral(good.unionByName(spark.createDataFrame([(bad,)], "label string")), "label")
