@@ -25,6 +25,22 @@ def _refuse(what: str, bad: DataFrame, *keys: str) -> None:
         raise CatchmentError(f"{what}: {shown}" + (f" and {count - SHOWN} more" if count > SHOWN else ""))
 
 
+def refuse_any(*checks: tuple[str, DataFrame, str]) -> None:
+    """The error of the first of the checks (what, bad rows, key) that has rows; all are looked at in one job."""
+    any_ = None
+    for i, (_, bad, _) in enumerate(checks):
+        one = bad.select(F.lit(i).alias("i")).limit(1)
+        any_ = one if any_ is None else any_.unionByName(one)
+    for i in sorted(r[0] for r in any_.collect()):
+        what, bad, key = checks[i]
+        _refuse(what, bad, key)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once."""
+    return df.groupBy(key).count().where("count > 1")
+
+
 def unique_key(df: DataFrame, *keys: str, what: str = "duplicate key") -> DataFrame:
     """``df``, if no key occurs twice."""
     _refuse(what, df.groupBy(*keys).count().where("count > 1"), *keys)

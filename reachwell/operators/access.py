@@ -47,10 +47,10 @@ def attach(overlap: DataFrame, tract_pop: DataFrame, supply: DataFrame, na_pop:
     if na_pop not in ("error", "zero"):
         raise guards.CatchmentError("na_pop must be error or zero")
     if check:
-        guards.unique_key(pop, "geoid", what="tract population repeats a tract")
-        guards.unique_key(supply, "coord_id", what="supply repeats an origin")
+        tests = [("tract population repeats a tract", guards.repeated(pop, "geoid"), "geoid"), ("supply repeats an origin", guards.repeated(supply, "coord_id"), "coord_id")]
         if na_pop == "error":
-            guards.no_nulls(pop, "pop", "geoid", "unknown population")
+            tests.append(("unknown population in pop", pop.where(~guards.finite(F.col("pop"))), "geoid"))
+        guards.refuse_any(*tests)
     pop = pop.withColumn("pop", F.when(guards.finite(F.col("pop")), F.col("pop")).otherwise(0.0))
     edges = overlap.join(supply, "coord_id").join(pop, "geoid", "left")
     return edges, pop, supply
@@ -79,8 +79,8 @@ def e2sfca(
     first, second = incremental(weights), incremental(weights, power)
     edges, pop, supply = attach(overlap, tract_pop, supply, na_pop, check)
     base = edges.withColumn("w1", weight_of(F.col("band"), first)).withColumn("w2", weight_of(F.col("band"), second)).where("w1 is not null")
-    if check:
-        guards.matched(base, pop, "geoid", "tract within a catchment has no population row")
+    if check:  # the joined population is null only where there was no row
+        guards._refuse("tract within a catchment has no population row", base.where("pop is null"), "geoid")
 
     demand = base.groupBy("coord_id").agg(F.sum(F.col("w1") * F.col("f") * F.coalesce("pop", F.lit(0.0))).alias("demand"))
     d = F.col("weighted_demand")

@@ -40,14 +40,16 @@ def allocate_by_area(pop: DataFrame, bridge: DataFrame, tolerance: float = 1e-6,
     tracts = pop.select("geoid", F.when(guards.finite(F.col("pop")), F.col("pop").cast("double")).otherwise(0.0).alias("pop"))
     areas = bridge.groupBy("geoid").agg(F.sum("area").alias("whole"))
     if check:
-        guards.unique_key(tracts, "geoid", what="population repeats a tract")
-        guards._refuse("negative population", tracts.where("pop < 0"), "geoid")
-        guards._refuse("area that isn't a non-negative number", bridge.where(~guards.finite(F.col("area")) | (F.col("area") < 0)), "geoid")
-        guards._refuse("populated tract without any cell area", tracts.where("pop > 0").join(areas.where("whole > 0"), "geoid", "left_anti"), "geoid")
+        guards.refuse_any(
+            ("population repeats a tract", guards.repeated(tracts, "geoid"), "geoid"),
+            ("negative population", tracts.where("pop < 0"), "geoid"),
+            ("area that isn't a non-negative number", bridge.where(~guards.finite(F.col("area")) | (F.col("area") < 0)), "geoid"),
+            ("populated tract without any cell area", tracts.where("pop > 0").join(areas.where("whole > 0"), "geoid", "left_anti"), "geoid"),
+        )
     shares = bridge.join(tracts, "geoid").join(areas.where("whole > 0"), "geoid")
     cells = shares.groupBy("cell_id").agg(F.sum(F.col("pop") * F.col("area") / F.col("whole")).alias("pop"))
     if check:
-        before, after = (df.agg(F.coalesce(F.sum("pop"), F.lit(0.0))).head()[0] for df in (tracts, cells))
+        before, after = tracts.agg(F.coalesce(F.sum("pop"), F.lit(0.0)).alias("a")).crossJoin(cells.agg(F.coalesce(F.sum("pop"), F.lit(0.0)).alias("b"))).head()  # one row each
         guards.conserved(before, after, tolerance, "population on the grid")
     return cells
 

@@ -155,13 +155,16 @@ def crossings(shapes: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.col("id").alias("edge"), "other").distinct()
 
 
-def valid(shapes: DataFrame, *keys: str) -> DataFrame:
+def valid(shapes: DataFrame, key: str) -> DataFrame:
     """``shapes``, if every polygon has area, rings of three points at least, finite points, and edges that don't cross."""
     point = F.flatten("polygon")
-    good = F.exists("polygon", lambda ring: F.size(ring) < 3) | F.exists(point, lambda p: ~(guards.finite(p["x"]) & guards.finite(p["y"])))
-    guards._refuse("polygon without three finite points a ring", shapes.where(F.coalesce((F.size("polygon") < 1) | good, F.lit(True))), *keys)
-    guards._refuse("polygon whose edges cross", crossings(shapes, *keys), *keys)
-    guards._refuse("polygon without area", shapes.where(polygon_area(F.col("polygon")) <= 0), *keys)
+    bad = F.exists("polygon", lambda ring: F.size(ring) < 3) | F.exists(point, lambda p: ~(guards.finite(p["x"]) & guards.finite(p["y"])))
+    bad = F.coalesce((F.size("polygon") < 1) | bad, F.lit(True))
+    guards.refuse_any(
+        ("polygon without three finite points a ring", shapes.where(bad), key),
+        ("polygon whose edges cross", crossings(shapes.where(~bad), key), key),
+        ("polygon without area", shapes.where(polygon_area(F.col("polygon")) <= 0), key),
+    )
     return shapes
 
 
