@@ -15,22 +15,34 @@ from reachwell.plans.registry import query, r
 BANDS = list(BAND_WEIGHTS)
 
 
-@query(f"SELECT band, w, {r('w1 AS step1', 'w2 AS step2')} FROM w")
+def _by_band(b: Binding) -> DataFrame:
+    """Overlaps by band: band, n and the sum of their fractions."""
+    return b.overlap.groupBy("band").agg(F.count("*").alias("n"), F.sum("overlap_fraction").alias("area"))
+
+
+_BAND_SUMS = "bs AS (SELECT CAST(band AS INTEGER) AS band, count(*) AS n, sum(overlap_fraction) AS area FROM overlap GROUP BY 1)"
+
+
+@query(f"SELECT band, n, w, {r('w1 AS step1', 'w2 AS step2', 'area * w1 AS weighted_area', digits=4)} FROM bs JOIN w USING (band)", _BAND_SUMS, digits=4)
 def weights_incremental(b: Binding) -> DataFrame:
     first, second = wt.incremental(BAND_WEIGHTS), wt.incremental(BAND_WEIGHTS, 2)
-    return b.spark.createDataFrame([(k, v, first[k], second[k]) for k, v in BAND_WEIGHTS.items()], "band int, w double, step1 double, step2 double")
+    of = lambda w: wt.weight_of(F.col("band"), w)
+    return _by_band(b).select("band", "n", of(BAND_WEIGHTS).alias("w"), of(first).alias("step1"), of(second).alias("step2"), (F.col("area") * of(first)).alias("weighted_area"))
 
 
-@query(f"SELECT band, {r('exp(-(band * band - 900) / 7200.0) AS w', 'exp(-(band * band) / 7200.0) AS kernel')} FROM w")
+@query(f"SELECT band, n, {r('exp(-(band * band - 900) / 7200.0) AS w', 'exp(-(band * band) / 7200.0) AS kernel', 'area * exp(-(band * band - 900) / 7200.0) AS weighted_area', digits=4)} FROM bs", _BAND_SUMS, digits=4)
 def weights_gaussian(b: Binding) -> DataFrame:
-    rows = b.spark.createDataFrame(list(wt.gaussian(BANDS).items()), "band int, w double")
-    return rows.withColumn("kernel", wt.gaussian_kernel(F.col("band")))
+    w = wt.weight_of(F.col("band"), wt.gaussian(BANDS))
+    return _by_band(b).select("band", "n", w.alias("w"), wt.gaussian_kernel(F.col("band")).alias("kernel"), (F.col("area") * w).alias("weighted_area"))
+
+
+_SCHEME_ROWS = ", ".join(f"('{s}', {k}, {v}::DOUBLE)" for s, ws in DECAY_SCHEMES.items() for k, v in ws.items())
 
 
-@query("""SELECT * FROM (VALUES ('base', 30, 1.0), ('base', 60, 0.68), ('base', 120, 0.22), ('base', 180, 0.09), ('steeper', 30, 1.0), ('steeper', 60, 0.5),
-  ('steeper', 120, 0.1), ('steeper', 180, 0.02), ('flatter', 30, 1.0), ('flatter', 60, 0.85), ('flatter', 120, 0.55), ('flatter', 180, 0.3)) v(scheme, band, w)""")
+@query(f"SELECT scheme, band, w, {r('area * w AS weighted_area', digits=4)} FROM bs JOIN (VALUES {_SCHEME_ROWS}) v(scheme, band, w) USING (band)", _BAND_SUMS, digits=4)
 def weights_schemes(b: Binding) -> DataFrame:
-    return b.spark.createDataFrame([(s, k, v) for s, ws in DECAY_SCHEMES.items() for k, v in ws.items()], "scheme string, band int, w double")
+    rows = b.spark.createDataFrame([(s, k, v) for s, ws in DECAY_SCHEMES.items() for k, v in ws.items()], "scheme string, band int, w double")
+    return _by_band(b).join(F.broadcast(rows), "band").select("scheme", "band", "w", (F.col("area") * F.col("w")).alias("weighted_area"))
 
 
 @query("SELECT specialty, analysis_year, coord_id, CAST(count(DISTINCT npi) AS DOUBLE) AS supply FROM panel JOIN cohort USING (npi) WHERE match_source IS NOT NULL GROUP BY 1, 2, 3")
