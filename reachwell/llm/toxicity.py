@@ -48,7 +48,8 @@ LEAST_CHI2, LEAST_DF = 24.0, 5
 #: Votes, examples in a block, and supporting examples that are returned.
 NEAREST, BLOCK, EVIDENCE = 15, 64, 3
 _WORD = re.compile(r"\w+")
-_CACHED = 200_000
+#: Words whose terms a worker remembers; bytes of text, and labelled rows, whose counts are Python objects at once.
+_CACHED, _BYTES, _ROWS = 50_000, 1 << 19, 256
 
 
 def stems(word: str) -> list[str]:
@@ -177,7 +178,7 @@ class Index:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
         """The calibrated score of a text, and the examples nearest to it."""
-        if not counts or not self.vectors:
+        if not counts or not len(self.labels):
             return self.prior, []
         number, cosine = self.nearest(*self.vector(counts), NEAREST)
         if not len(number):
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=_BYTES):
             found = []
             for text in batch.column("text").to_pylist():
                 counts = Counter()
@@ -239,13 +240,14 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = space.value.number
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             own = [[(number[t], n) for t, n in r if t in number] for r in batch.column("tf").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.map_(pa.int32(), pa.int32()))], ["doc_id", "toxic", "tf"])
 
     examples = rows.mapInArrow(pick, f"doc_id {kind}, toxic int, tf map<int,int>").toArrow().to_pylist()
     index.build([(r["doc_id"], r["toxic"], dict(r["tf"])) for r in sorted(examples, key=lambda r: str(r["doc_id"]))])
     index.calibrate()
+    index.vectors = []  # scoring needs the postings alone
     return index
 
 
@@ -258,7 +260,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         space = Space(own.terms)
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=_BYTES):
             rows = [own.score(space.counts(t)) for t in batch.column("text").to_pylist()]
             found = pa.array([r[1] for r in rows], pa.list_(pa.struct([("doc_id", batch.schema.field("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()), found], ["doc_id", "score", "evidence"])
@@ -274,7 +276,7 @@ def remove(docs: DataFrame, index: Index, least: float = 0.5) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         space = Space(own.terms)
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=_BYTES):
             yield batch.filter(pa.array([own.score(space.counts(t))[0] < least for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
