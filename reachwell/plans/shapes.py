@@ -113,12 +113,13 @@ rratio AS (SELECT s.coord_id, supply, coalesce(d, 0) AS weighted_demand, CASE WH
 rsurf AS (SELECT cx, cy, pop, coalesce(a, 0) AS a FROM rcells LEFT JOIN (SELECT cx, cy, sum(w1 * ratio) AS a FROM zcent JOIN rratio USING (coord_id) JOIN w USING (band) GROUP BY 1, 2) USING (cx, cy))"""
 
 
-def _grid(b: Binding, size: float = SIZE) -> raster.Grid:
-    return raster.build_grid(tract_shapes(b), size)
+def _grid(b: Binding, size: float = SIZE, check: bool = False) -> raster.Grid:
+    """The tracts' grid; ``raster_population`` and ``raster_access`` check what the others read too."""
+    return raster.build_grid(tract_shapes(b), size, check=check)
 
 
-def _access(b: Binding, **more) -> raster.RasterAccess:
-    return raster.raster_access(_grid(b), raster.prepare_zones(zone_shapes(b), SIZE), b.supply, **more)
+def _access(b: Binding, check: bool = False, **more) -> raster.RasterAccess:
+    return raster.raster_access(_grid(b, check=check), raster.prepare_zones(zone_shapes(b), SIZE), b.supply, check=check, **more)
 
 
 @query(f"SELECT geoid, {r('area', 'x', 'y', digits=9)}, n_cells FROM (SELECT geoid, sum(x1 * y2 - x2 * y1) / 2 AS area, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / sum(x1 * y2 - x2 * y1) / 3 AS x, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / sum(x1 * y2 - x2 * y1) / 3 AS y FROM tedges GROUP BY 1) LEFT JOIN (SELECT geoid, count(*) AS n_cells FROM tcent GROUP BY 1) USING (geoid)", TRACT_CELLS, digits=9)
@@ -140,7 +141,7 @@ def cell_coverage(b: Binding) -> DataFrame:
 
 @query(f"SELECT cx AS cell_x, cy AS cell_y, {r('pop', digits=4)} FROM rcells", EDGES + ", " + _chain(SIZE), digits=4)
 def raster_population(b: Binding) -> DataFrame:
-    return _grid(b).cells.select("cell_x", "cell_y", "pop")
+    return _grid(b, check=True).cells.select("cell_x", "cell_y", "pop")
 
 
 @query(f"SELECT coord_id, band, {r('pop', digits=3)} FROM rpop", EDGES + ", " + _chain(SIZE), digits=3)
@@ -156,7 +157,7 @@ def raster_ratios(b: Binding) -> DataFrame:
 
 @query(f"SELECT geoid, {r('1e5 * sum(a * area) / sum(area) AS mean', '1e5 * sum(a * area * pop) / nullif(sum(area * pop), 0) AS weighted_mean', digits=5)} FROM rbridge JOIN rsurf USING (cx, cy) GROUP BY 1", CHAIN, digits=5)
 def raster_access(b: Binding) -> DataFrame:
-    return _access(b).access.select("geoid", F.col("access_mean_area_scaled").alias("mean"), F.col("access_mean_population_scaled").alias("weighted_mean"))
+    return _access(b, check=True).access.select("geoid", F.col("access_mean_area_scaled").alias("mean"), F.col("access_mean_population_scaled").alias("weighted_mean"))
 
 
 @query(f"SELECT count(*) FILTER (zero_demand) AS n_zero_demand_origins, {r('sum(excluded_supply) AS supply_zero_demand', 'sum(excluded_supply) / sum(supply) AS share_supply_zero_demand')}, [] :: INTEGER[] AS bands_outside, CAST(0 AS BIGINT) AS runs_dropped FROM rratio", CHAIN)
@@ -192,7 +193,7 @@ _BY_SIZE = EDGES + "".join(f", {_chain(size, tag)}" for size, tag in ((1.0, "_1"
 def raster_resolutions(b: Binding) -> DataFrame:
     """The variants that differ by the size of cells alone."""
     shapes, zones = tract_shapes(b), zone_shapes(b)
-    grids = {m: (raster.build_grid(shapes, m / 1000), raster.prepare_zones(zones, m / 1000)) for m in (1000, 500)}
+    grids = {m: (raster.build_grid(shapes, m / 1000, check=False), raster.prepare_zones(zones, m / 1000)) for m in (1000, 500)}
     variants = {n: v for n, v in raster.wt.variants().items() if n in ("base", "res500")}
     return raster.raster_variants(grids, b.supply, variants).select("variant", "geoid", (F.col("mean") * 1e5).alias("mean"))
 
