@@ -44,6 +44,13 @@ def incremental(weights: Mapping[int, float], power: float = 1.0) -> dict[int, f
     return {b: 0.0 if -1e-9 < s < 0 else s for b, s in zip(weights, steps, strict=True)}
 
 
+def incremental_of_four(weights: Mapping[int, float]) -> dict[int, float]:
+    """The increments of exactly four bands' weights."""
+    if len(weights) != 4:
+        raise CatchmentError(f"four bands are asked for, not {len(weights)}")
+    return incremental(weights)
+
+
 def gaussian(bands: Sequence[int], sigma: float = GAUSSIAN_SIGMA) -> dict[int, float]:
     """The Gaussian kernel at the bands' outer edges, relative to the first one's."""
     if sigma < 1e-9:

@@ -151,6 +151,19 @@ def fixed_class(x: Column, cuts: Sequence[float]) -> Column:
     return F.when(x.isNotNull(), reduce(add, [(x > c).cast("int") for c in cuts], F.lit(1)))
 
 
+def coverage_by_minority(cover: DataFrame, shares: DataFrame, cuts: Sequence[float] = (100 / 3, 200 / 3)) -> DataFrame:
+    """Coverage by fixed thirds beside tertiles of the minority share, which all specialties share: adds minority_share, ax, ay, key.
+
+    ``cover`` has geoid and percent, ``shares`` geoid, women and minority;
+    tracts without women or with an unknown share are in neither.
+    """
+    rows = shares.where("women > 0").select("geoid", (100 * ratio(F.col("minority"), F.col("women"))).alias("minority_share")).where("minority_share is not null and not isnan(minority_share)")
+    limits = breaks(rows, "minority_share", 3, "quantile")
+    both = cover.join(rows.withColumn("ay", class_of(F.col("minority_share"), limits)), "geoid")
+    both = both.withColumn("ax", fixed_class(F.col("percent"), cuts).cast("int"))
+    return both.withColumn("key", F.concat(F.col("ax").cast("string"), F.col("ay").cast("string")))
+
+
 def hot_spots(values: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Getis-Ord Gi* with binary weights: id, z, class.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachwell import guards
-from reachwell.constants import EQUITY_CUTS
+from reachwell.constants import EQUITY_CUTS, PER_CAPITA
 from reachwell.functions.stats import ratio, weighted_mean_all, zero_share
 from reachwell.operators.supply import first_rows
 
@@ -113,3 +113,65 @@ def correction_effect(before: DataFrame, after: DataFrame, *keys: str) -> DataFr
     both = both.withColumn("effect", kind).withColumn("rel_change", ratio(F.col("m1") - F.col("m0"), F.col("m0")))
     ranks = [F.rank().over(Window.partitionBy(*names[:-1]).orderBy(F.desc(c))) if len(names) > 1 else F.rank().over(Window.orderBy(F.desc(c))) for c in ("m0", "m1")]
     return both.withColumn("rank_shift", ranks[1] - ranks[0])
+
+
+def correction_summary(frozen: DataFrame, corrected: DataFrame, pop: DataFrame, region: Callable[[Column], Column], *keys: str, ratios: tuple[DataFrame, DataFrame] | None = None, scale: float = PER_CAPITA) -> DataFrame:
+    """What a correction of one region's tracts does to the weighted mean access: one row of keys.
+
+    ``frozen`` and ``corrected`` have keys, geoid and access (per ``scale``), for
+    the same tracts; ``pop`` geoid and pop; ``region`` says of a geoid whether
+    it was corrected. The change is split: ``second_order`` is that of the mean
+    outside the region, ``direct`` what the region's own values add. Tracts and
+    population with an access of 0 and without any are counted in both, and
+    with ``ratios`` (each keys, supply, weighted_demand) how far the access
+    that people have in all is from the supply that reaches anyone.
+    """
+    on = [*keys, "geoid"]
+    both = frozen.select(*on, F.col("access").alias("f"), F.lit(True).alias("in_f")).join(corrected.select(*on, F.col("access").alias("c"), F.lit(True).alias("in_c")), on, "full")
+    guards._refuse("the two results have other tracts", both.where("in_f is null or in_c is null"), "geoid")
+    rows = both.drop("in_f", "in_c").join(pop.select("geoid", F.col("pop").cast("double").alias("pop")), "geoid", "left")
+    p, inside = F.col("pop"), region(F.col("geoid"))
+    known = lambda a: guards.finite(F.col(a)) & guards.finite(p)
+    mean = lambda a, where: ratio(F.sum(F.when(known(a) & where, F.col(a) * p)), F.sum(F.when(known(a) & where, p)))
+    share = lambda where: 100 * ratio(F.sum(F.when(where, p).otherwise(0.0)), F.sum(p))
+    every = F.lit(True)
+    out = [F.coalesce(F.sum(p), F.lit(0.0)).alias("pop_eligible")]
+    for a, name in (("f", "frozen"), ("c", "corrected")):
+        zero, none = F.coalesce(F.col(a) == 0, F.lit(False)), ~guards.finite(F.col(a))
+        out += [mean(a, every).alias(f"mean_{name}"), mean(a, ~inside).alias(f"_outside_{name}"), mean(a, inside).alias(f"region_mean_{name}")]
+        out += [F.count_if(zero).alias(f"n_zero_{name}"), share(zero).alias(f"pop_zero_pct_{name}"), F.count_if(none).alias(f"n_unknown_{name}"), share(none).alias(f"pop_unknown_pct_{name}")]
+        out += [F.sum(F.when(known(a), F.col(a) * p / scale)).alias(f"_mass_{name}")]
+    found = rows.groupBy(*keys).agg(*out)
+    before, after = F.col("mean_frozen"), F.col("mean_corrected")
+    second, direct = F.col("_outside_corrected") - F.col("_outside_frozen"), after - F.col("_outside_corrected")
+    found = found.withColumns({"delta_pct": 100 * ratio(after - before, before), "second_order": second, "direct": direct, "second_order_pct": 100 * ratio(second, before), "direct_pct": 100 * ratio(direct, before)})
+    for name, df in zip(("frozen", "corrected"), ratios or (), strict=False):
+        own = df.groupBy(*keys).agg(F.sum(F.when(F.col("weighted_demand") > 0, F.col("supply")).otherwise(0.0)).alias("_s"))
+        found = found.join(own, list(keys), "left") if keys else found.crossJoin(own)
+        found = found.withColumn(f"conservation_residual_{name}", ratio(F.col(f"_mass_{name}") - F.col("_s"), F.col("_s"))).drop("_s")
+    return found.drop(*[f"_{a}_{n}" for a in ("outside", "mass") for n in ("frozen", "corrected")])
+
+
+def temporal_effect(means: DataFrame, key: str, spans: Sequence[tuple[int, int]]) -> DataFrame:
+    """Percent changes between years in both results, and whether the correction turns their sign: key, span, frozen, corrected, sign_flip.
+
+    ``means`` has key, year, mean_frozen and mean_corrected; years before the
+    correction have both alike. Spans without both years are left out.
+    """
+    out = None
+    for a, b in spans:
+        at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
+        change = lambda c: 100 * ratio(at(c, b) - at(c, a), at(c, a))  # noqa: B023, E731
+        one = means.groupBy(key).agg(change("mean_frozen").alias("frozen"), change("mean_corrected").alias("corrected")).where("frozen is not null and corrected is not null")
+        one = one.select(key, F.lit(f"{a}-{b}").alias("span"), "frozen", "corrected", (F.signum("frozen") != F.signum("corrected")).alias("sign_flip"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ranking_effect(means: DataFrame, key: str) -> DataFrame:
+    """Each year's order of keys by descending mean in both results, ties by key, and whether it changed: year, frozen, corrected, changed."""
+    def ordered(c: str) -> Column:  # a few specialties a year
+        return F.concat_ws(" > ", F.transform(F.array_sort(F.collect_list(F.struct((-F.col(c)).alias("m"), F.col(key).alias("k")))), lambda x: x["k"]))
+
+    by = means.groupBy("year").agg(ordered("mean_frozen").alias("frozen"), ordered("mean_corrected").alias("corrected"))
+    return by.withColumn("changed", F.col("frozen") != F.col("corrected"))

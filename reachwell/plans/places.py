@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reachwell.constants import AGE_BANDS, SPECIALTY_CODES
 from reachwell.functions.stats import weighted_mean_positive
 from reachwell.guards import unmatched_keys
-from reachwell.operators import centroid, classify, robustness, scenario, sites, supply
+from reachwell.operators import centroid, classify, robustness, scenario, sites, strata, supply
 from reachwell.plans.analysis import _ROWS, _SENS, _inference, _sens
 from reachwell.plans.binding import Binding, origin
 from reachwell.plans.model import _PROJ, _VARIANTS, _projection, _states, _variants
@@ -326,3 +326,68 @@ def windowed_sightings(b: Binding) -> DataFrame:
     """The streamed count over a table: distinct users of each kind of event by thirty days."""
     found = windowed_supply(b.raw("events").select(F.col("user_id").alias("npi"), F.col("event_type").alias("coord_id"), F.col("ts").alias("seen_at")))
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+# Corrections and classes by minority share
+
+_FIX = """fx AS (SELECT geoid, segment AS s, y AS year, CAST(pop AS DOUBLE) AS pop, state < '05' AS inside, CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(k % 50 AS DOUBLE) END AS f,
+  CASE WHEN state < '05' AND y >= 2022 THEN (k % 50) * 1.5::DOUBLE + 1 WHEN k % 13 = 0 THEN NULL ELSE (k % 50) * (1 + (y - 2021) * 0.01::DOUBLE * (k % 3)) END AS c FROM tracts, (VALUES (2021), (2022), (2023)) v(y)),
+fm AS (SELECT s, year, sum(pop) AS pop_eligible, sum(f * pop) / sum(pop) FILTER (f IS NOT NULL) AS mean_frozen, sum(c * pop) / sum(pop) FILTER (c IS NOT NULL) AS mean_corrected,
+  sum(f * pop) FILTER (NOT inside) / sum(pop) FILTER (f IS NOT NULL AND NOT inside) AS nf, sum(c * pop) FILTER (NOT inside) / sum(pop) FILTER (c IS NOT NULL AND NOT inside) AS nc,
+  sum(f * pop) FILTER (inside) / sum(pop) FILTER (f IS NOT NULL AND inside) AS region_mean_frozen, sum(c * pop) FILTER (inside) / sum(pop) FILTER (c IS NOT NULL AND inside) AS region_mean_corrected,
+  count(*) FILTER (f = 0) AS n_zero_frozen, count(*) FILTER (c = 0) AS n_zero_corrected, count(*) FILTER (f IS NULL) AS n_unknown_frozen, count(*) FILTER (c IS NULL) AS n_unknown_corrected,
+  100 * coalesce(sum(pop) FILTER (f = 0), 0) / sum(pop) AS pop_zero_pct_frozen, 100 * coalesce(sum(pop) FILTER (c = 0), 0) / sum(pop) AS pop_zero_pct_corrected,
+  100 * coalesce(sum(pop) FILTER (f IS NULL), 0) / sum(pop) AS pop_unknown_pct_frozen, 100 * coalesce(sum(pop) FILTER (c IS NULL), 0) / sum(pop) AS pop_unknown_pct_corrected,
+  (sum(f * pop) / 1e5 - 1000) / 1000 AS conservation_residual_frozen, (sum(c * pop) / 1e5 - 1000) / 1000 AS conservation_residual_corrected FROM fx GROUP BY 1, 2)"""
+
+
+def _correction(b: Binding) -> DataFrame:
+    k, y, state = F.col("k"), F.col("year"), F.col("state")
+    rows = b.tracts.select("geoid", "k", "state", F.col("segment").alias("s"), F.explode(F.array(F.lit(2021), F.lit(2022), F.lit(2023))).alias("year"))
+    old = F.when(k % 13 != 0, (k % 50).cast("double"))
+    new = F.when((state < "05") & (y >= 2022), (k % 50) * 1.5 + 1).when(k % 13 != 0, (k % 50) * (1 + (y - 2021) * 0.01 * (k % 3)))
+    supply_ = rows.select("s", "year").distinct().select("s", "year", F.explode(F.array(F.struct(F.lit(1000.0).alias("supply"), F.lit(5.0).alias("weighted_demand")), F.struct(F.lit(77.0).alias("supply"), F.lit(0.0).alias("weighted_demand")))).alias("x")).select("s", "year", "x.*")
+    return strata.correction_summary(rows.select("s", "year", "geoid", old.alias("access")), rows.select("s", "year", "geoid", new.alias("access")), b.tracts.select("geoid", "pop"), lambda g: F.substring(g, 1, 2) < "05", "s", "year", ratios=(supply_, supply_))
+
+
+_FIXED = [f"{a}_{n}" for a in ("region_mean", "pop_zero_pct", "pop_unknown_pct", "conservation_residual") for n in ("frozen", "corrected")]
+
+
+@query(
+    f"""SELECT s, year, n_zero_frozen, n_zero_corrected, n_unknown_frozen, n_unknown_corrected, {r('pop_eligible', 'mean_frozen', 'mean_corrected', *_FIXED, '100 * (mean_corrected - mean_frozen) / mean_frozen AS delta_pct', 'nc - nf AS second_order', 'mean_corrected - nc AS direct',
+      '100 * (nc - nf) / mean_frozen AS second_order_pct', '100 * (mean_corrected - nc) / mean_frozen AS direct_pct', digits=5)} FROM fm""",
+    _FIX, digits=5,
+)
+def correction_summary(b: Binding) -> DataFrame:
+    return _correction(b)
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT s, '{a}-{c}' AS span, {r('100 * (b.mean_frozen - a.mean_frozen) / a.mean_frozen AS frozen', '100 * (b.mean_corrected - a.mean_corrected) / a.mean_corrected AS corrected', digits=5)},
+  sign(b.mean_frozen - a.mean_frozen) <> sign(b.mean_corrected - a.mean_corrected) AS sign_flip FROM (SELECT * FROM fm WHERE year = {a}) a JOIN (SELECT * FROM fm WHERE year = {c}) b USING (s)"""
+        for a, c in ((2021, 2022), (2022, 2023))
+    ),
+    _FIX, digits=5,
+)
+def correction_over_time(b: Binding) -> DataFrame:
+    return strata.temporal_effect(_correction(b), "s", [(2021, 2022), (2022, 2023), (2013, 2023)])
+
+
+@query(
+    """SELECT year, frozen, corrected, frozen <> corrected AS changed FROM (SELECT year, string_agg(s, ' > ' ORDER BY mean_frozen DESC, s) AS frozen, string_agg(s, ' > ' ORDER BY mean_corrected DESC, s) AS corrected FROM fm GROUP BY 1)""",
+    _FIX,
+)
+def correction_of_ranks(b: Binding) -> DataFrame:
+    return strata.ranking_effect(_correction(b), "s")
+
+
+@query(
+    f"""SELECT geoid, specialty, {r('minority_share')}, ax, ay, CAST(ax AS VARCHAR) || CAST(ay AS VARCHAR) AS key FROM (SELECT c.geoid, specialty, minority_share, CAST(1 + CAST(percent > 100.0::DOUBLE / 3 AS INTEGER) + CAST(percent > 200.0::DOUBLE / 3 AS INTEGER) AS INTEGER) AS ax,
+  CAST(CASE WHEN minority_share <= q[2] THEN 1 WHEN minority_share <= q[3] THEN 2 ELSE 3 END AS INTEGER) AS ay FROM cover c JOIN (SELECT geoid, 100 * (k % 17) / 16.0::DOUBLE AS minority_share FROM tracts WHERE k % 9 <> 0) USING (geoid),
+  (SELECT quantile_cont(100 * (k % 17) / 16.0::DOUBLE, [0, 1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE, 1]) AS q FROM tracts WHERE k % 9 <> 0))"""
+)
+def coverage_by_minority(b: Binding) -> DataFrame:
+    k = F.col("k")
+    shares = b.tracts.select("geoid", F.when(k % 9 != 0, 16.0).otherwise(0.0).alias("women"), (k % 17).cast("double").alias("minority"))
+    return classify.coverage_by_minority(b.cover.select("geoid", "specialty", "percent"), shares).select("geoid", "specialty", "minority_share", "ax", "ay", "key")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from reachwell import guards
 from reachwell.constants import RACE_FEMALE, TOTAL_FEMALE
+from reachwell.functions import weights
 from reachwell.guards import CatchmentError
-from reachwell.operators import access, centroid, classify, coverage, geometry, grid, robustness, scenario, sites, supply
+from reachwell.operators import access, centroid, classify, coverage, geometry, grid, robustness, scenario, sites, strata, supply
 from reachwell.sources import readers, sinks
 from reachwell.streaming.supply import windowed_supply
 
@@ -241,3 +242,25 @@ def test_neutral_labels(spark):
     for bad in ("Provider SHORTAGE in rural tracts", "an under-supply", "unmet needs"):
         with pytest.raises(CatchmentError, match="normative term in label"):
             guards.neutral(good.unionByName(spark.createDataFrame([(bad,)], "label string")), "label")
+
+
+def test_four_bands():
+    assert weights.incremental_of_four({30: 1.0, 60: 0.68, 120: 0.22, 180: 0.09}) == pytest.approx({30: 0.32, 60: 0.46, 120: 0.13, 180: 0.09})
+    with pytest.raises(CatchmentError, match="not 3"):
+        weights.incremental_of_four({30: 1.0, 60: 0.5, 120: 0.1})
+
+
+def test_a_correction_by_hand(spark):
+    """One region of two: its tract had no access and gets 9; the other's goes from 2 to 3."""
+    schema = "geoid string, access double"
+    old, new = spark.createDataFrame([("09a", None), ("10b", 2.0), ("10c", 0.0)], schema), spark.createDataFrame([("09a", 9.0), ("10b", 3.0), ("10c", 0.0)], schema)
+    pop = spark.createDataFrame([("09a", 100.0), ("10b", 100.0), ("10c", 100.0)], "geoid string, pop double")
+    ratios = spark.createDataFrame([(2.0, 5.0), (7.0, 0.0)], "supply double, weighted_demand double")
+    r = strata.correction_summary(old, new, pop, lambda g: g.startswith("09"), ratios=(ratios, ratios), scale=100.0).head()
+    assert (r["mean_frozen"], r["mean_corrected"], r["second_order"], r["direct"]) == (1.0, 4.0, 0.5, 2.5)
+    assert (r["delta_pct"], r["second_order_pct"], r["direct_pct"]) == (300.0, 50.0, 250.0)
+    assert (r["region_mean_frozen"], r["region_mean_corrected"], r["n_unknown_frozen"], r["n_unknown_corrected"], r["n_zero_frozen"]) == (None, 9.0, 1, 0, 1)
+    assert (r["pop_unknown_pct_frozen"], r["pop_zero_pct_corrected"]) == (pytest.approx(100 / 3), pytest.approx(100 / 3))
+    assert (r["conservation_residual_frozen"], r["conservation_residual_corrected"]) == (0.0, 5.0)
+    with pytest.raises(CatchmentError, match="other tracts: 10c"):
+        strata.correction_summary(old, new.where("geoid <> '10c'"), pop, lambda g: g.startswith("09"))
