@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachwell.llm.common import blocks, checkpointed, mix, table, utf8, written
+from reachwell.llm.common import blocks, checkpointed, mix, table, utf8
 
 #: Least and greatest bytes of a chunk, and the mean distance to the next boundary beyond the least.
 LEAST_CHUNK, GREATEST_CHUNK, MEAN = 12, 1024, 20
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
     ``first_doc_id`` is the document in which the passage's longest chunk comes first.
     """
-    own = written(chunks(docs))  # both sides of the join read them
+    own = chunks(docs)
     spot = F.struct("doc_id", "copy", "number")
     first = own.groupBy("digest", "n_bytes").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first != last").select("digest", "n_bytes", "first")
     again = own.join(first, ["digest", "n_bytes"]).where(spot != F.col("first"))
