@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """
     own = chunks(docs)
     spot = F.struct("doc_id", "copy", "number")
-    first = own.groupBy("digest", "n_bytes").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first != last").select("digest", "n_bytes", "first")
+    first = own.groupBy("digest", "n_bytes").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "n_bytes", "first")
     again = own.join(first, ["digest", "n_bytes"]).where(spot != F.col("first"))
     again = again.select("doc_id", "copy", "number", "begin", "end", "n_bytes", F.col("first.doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id", "copy").orderBy("number")
