@@ -156,14 +156,17 @@ def temporal_effect(means: DataFrame, key: str, spans: Sequence[tuple[int, int]]
     """Percent changes between years in both results, and whether the correction turns their sign: key, span, frozen, corrected, sign_flip.
 
     ``means`` has key, year, mean_frozen and mean_corrected; years before the
-    correction have both alike. Spans without both years are left out.
+    correction have both alike. Spans without both years are left out. A change
+    of less than a billionth of a percent is the noise of the means' sums and
+    has no sign.
     """
+    sign = lambda c: F.signum(F.round(c, 9))
     out = None
     for a, b in spans:
         at = lambda c, y: F.max(F.when(F.col("year") == y, F.col(c)))
         change = lambda c: 100 * ratio(at(c, b) - at(c, a), at(c, a))  # noqa: B023, E731
         one = means.groupBy(key).agg(change("mean_frozen").alias("frozen"), change("mean_corrected").alias("corrected")).where("frozen is not null and corrected is not null")
-        one = one.select(key, F.lit(f"{a}-{b}").alias("span"), "frozen", "corrected", (F.signum("frozen") != F.signum("corrected")).alias("sign_flip"))
+        one = one.select(key, F.lit(f"{a}-{b}").alias("span"), "frozen", "corrected", (sign("frozen") != sign("corrected")).alias("sign_flip"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reachwell.functions import geometry as shapes
 from reachwell.functions import ranges
 from reachwell.guards import CatchmentError
-from reachwell.operators import classify, compare, raster
+from reachwell.operators import classify, compare, raster, strata
 from reachwell.storage import Store
 
 
@@ -151,3 +151,9 @@ def test_stored_grids_read_no_source_twice(spark, tmp_path):
     assert all("/kept/" in f for f in found[1].inputFiles()) and found[0].collect() == found[1].collect()
     raster.stored_grid(store, source("tracts"), 1.0, vintage=2020, year=2021)
     assert asked == ["tracts", "zones", "tracts"]
+
+
+def test_changes_within_the_noise_of_sums_have_no_sign(spark):
+    rows = [("a", 2021, 0.1 + 0.2, 1.0), ("a", 2022, 0.3, 2.0), ("b", 2021, 0.3, 1.0), ("b", 2022, 0.1 + 0.2, 2.0), ("c", 2021, 0.3, 1.0), ("c", 2022, 0.3 + 3e-11, 2.0)]
+    found = strata.temporal_effect(spark.createDataFrame(rows, "s string, year int, mean_frozen double, mean_corrected double"), "s", [(2021, 2022)])
+    assert {r["s"]: r["sign_flip"] for r in found.collect()} == {"a": True, "b": True, "c": False}
