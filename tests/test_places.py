@@ -264,3 +264,10 @@ def test_a_correction_by_hand(spark):
     assert (r["conservation_residual_frozen"], r["conservation_residual_corrected"]) == (0.0, 5.0)
     with pytest.raises(CatchmentError, match="other tracts: 10c"):
         strata.correction_summary(old, new.where("geoid <> '10c'"), pop, lambda g: g.startswith("09"))
+
+
+def test_thresholds_are_reached_within_the_noise_of_sums(spark):
+    places = spark.createDataFrame([(n, f"{n}{j}", 2) for n in "123" for j in "ab"], "npi string, location_id string, n_locations int")
+    matched = [("1", "1a", 1.0, 1.9999999999999998, 0.49999999999999994), ("2", "2a", 1.0, 1.99, 0.7), ("3", "3a", 1.0, 2.0, 0.49)]
+    found = sites.training_rows(places, spark.createDataFrame(matched, "npi string, location_id string, day_equiv double, observed_days double, matched_weight double"), 0.5, 2.0)
+    assert {r["location_id"]: r["empirical_weight"] for r in found.collect()} == {"1a": 1.0, "1b": 0.0}
