@@ -271,3 +271,19 @@ def test_thresholds_are_reached_within_the_noise_of_sums(spark):
     matched = [("1", "1a", 1.0, 1.9999999999999998, 0.49999999999999994), ("2", "2a", 1.0, 1.99, 0.7), ("3", "3a", 1.0, 2.0, 0.49)]
     found = sites.training_rows(places, spark.createDataFrame(matched, "npi string, location_id string, day_equiv double, observed_days double, matched_weight double"), 0.5, 2.0)
     assert {r["location_id"]: r["empirical_weight"] for r in found.collect()} == {"1a": 1.0, "1b": 0.0}
+
+
+def test_checked_tables_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    locations = spark.createDataFrame([("1", "a", 1, None, 40.0, -100.0, "yes", "0"), ("1", "b", 2, None, 41.0, -100.0, "no", None)], LOCATIONS)
+    places = sites.canonical(locations.mapInArrow(counted, LOCATIONS))
+    direct = spark.createDataFrame([("1", "1::a", 0.75), ("1", "1::b", 0.25)], "npi string, location_id string, direct_weight double")
+    rows = sites.schemes(places.withColumn("predicted_weight", 1 / F.col("n_locations")), direct)
+    assert {r["location_id"]: r["empirical_model_weight"] for r in rows.collect()} == {"1::a": 0.75, "1::b": 0.25}
+    assert made.value == 2
