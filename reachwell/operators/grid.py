@@ -16,6 +16,15 @@ from reachwell.constants import PER_CAPITA, THRESHOLDS
 from reachwell.functions.stats import ratio
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The side of a join that both sides are shuffled for.
+
+    Cells and runs are many times what the files they come from let Spark
+    expect, so it would send them whole to the driver and to every executor.
+    """
+    return df.hint("merge")
+
+
 def cells_of(tracts: DataFrame, size: float) -> DataFrame:
     """Cells whose centres lie in a tract's bounding box (x0, y0, x1, y1; the low edges inclusive): geoid, cell_x, cell_y.
 
@@ -44,9 +53,9 @@ def allocate_by_area(pop: DataFrame, bridge: DataFrame, tolerance: float = 1e-6,
             ("population repeats a tract", guards.repeated(tracts, "geoid"), "geoid"),
             ("negative population", tracts.where("pop < 0"), "geoid"),
             ("area that isn't a non-negative number", bridge.where(~guards.finite(F.col("area")) | (F.col("area") < 0)), "geoid"),
-            ("populated tract without any cell area", tracts.where("pop > 0").join(areas.where("whole > 0"), "geoid", "left_anti"), "geoid"),
+            ("populated tract without any cell area", tracts.where("pop > 0").join(apart(areas.where("whole > 0")), "geoid", "left_anti"), "geoid"),
         )
-    shares = bridge.join(tracts, "geoid").join(areas.where("whole > 0"), "geoid")
+    shares = bridge.join(apart(tracts), "geoid").join(apart(areas.where("whole > 0")), "geoid")
     cells = shares.groupBy("cell_id").agg(F.sum(F.col("pop") * F.col("area") / F.col("whole")).alias("pop"))
     if check:
         before, after = tracts.agg(F.coalesce(F.sum("pop"), F.lit(0.0)).alias("a")).crossJoin(cells.agg(F.coalesce(F.sum("pop"), F.lit(0.0)).alias("b"))).head()  # one row each
@@ -57,13 +66,13 @@ def allocate_by_area(pop: DataFrame, bridge: DataFrame, tolerance: float = 1e-6,
 def allocate_by_center(pop: DataFrame, cells: DataFrame) -> DataFrame:
     """Each tract's population in equal parts over the cells whose centres it holds (geoid, cell_id): cell_id, pop."""
     counts = cells.groupBy("geoid").agg(F.count("*").alias("n"))
-    per = pop.join(counts, "geoid").select("geoid", (F.col("pop") / F.col("n")).alias("pop"))
-    return cells.join(per, "geoid").groupBy("cell_id").agg(F.sum("pop").alias("pop"))
+    per = pop.join(apart(counts), "geoid").select("geoid", (F.col("pop") / F.col("n")).alias("pop"))
+    return cells.join(apart(per), "geoid").groupBy("cell_id").agg(F.sum("pop").alias("pop"))
 
 
 def zonal_sum(cells: DataFrame, cover: DataFrame) -> DataFrame:
     """Population in each zone (coord_id, band), cells counted by the fraction covered: coord_id, band, pop."""
-    return cover.join(cells, "cell_id").groupBy("coord_id", "band").agg(F.sum(F.col("pop") * F.col("fraction")).alias("pop"))
+    return cover.join(apart(cells), "cell_id").groupBy("coord_id", "band").agg(F.sum(F.col("pop") * F.col("fraction")).alias("pop"))
 
 
 def surface(cells: DataFrame, inside: DataFrame, ratios: DataFrame, step2: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def surface(cells: DataFrame, inside: DataFrame, ratios: DataFrame, step2: DataF
 
 def zonal_means(surface: DataFrame, bridge: DataFrame, *by: str) -> DataFrame:
     """Mean access of each tract by area, and by area and population: by (of the surface), geoid, mean, weighted_mean."""
-    rows = bridge.join(surface, "cell_id").where(guards.finite(F.col("access")))
+    rows = bridge.join(apart(surface), "cell_id").where(guards.finite(F.col("access")))
     by_pop = F.col("area") * F.coalesce("pop", F.lit(0.0))
     return rows.groupBy(*by, "geoid").agg(ratio(F.sum(F.col("access") * F.col("area")), F.sum("area")).alias("mean"), ratio(F.sum(F.col("access") * by_pop), F.sum(by_pop)).alias("weighted_mean"))
 
@@ -85,7 +94,7 @@ def zonal_means(surface: DataFrame, bridge: DataFrame, *by: str) -> DataFrame:
 def zero_area_fraction(surface: DataFrame, bridge: DataFrame) -> DataFrame:
     """The fraction of each tract's area whose access is zero or unknown: geoid, fraction."""
     zero = ~guards.finite(F.col("access")) | (F.col("access") <= 0)
-    rows = bridge.join(surface, "cell_id", "left")
+    rows = bridge.join(apart(surface), "cell_id", "left")
     return rows.groupBy("geoid").agg(ratio(F.sum(F.when(zero, F.col("area")).otherwise(0.0)), F.sum("area")).alias("fraction"))
 
 

@@ -151,7 +151,7 @@ def crossings(shapes: DataFrame, *keys: str) -> DataFrame:
     along = lambda x, y: ((F.col(x) - F.col("px1")) * dx + (F.col(y) - F.col("py1")) * dy) / (dx * dx + dy * dy)
     t1, t2 = along("qx1", "qy1"), along("qx2", "qy2")
     upon = (s1 == 0) & (s2 == 0) & (F.least(F.greatest(t1, t2), F.lit(1.0)) - F.greatest(F.least(t1, t2), F.lit(0.0)) > 1e-12)
-    found = one.join(two, [*keys, "cx", "cy"]).where((F.col("id") < F.col("other")) & (through | upon))
+    found = one.join(grid.apart(two), [*keys, "cx", "cy"]).where((F.col("id") < F.col("other")) & (through | upon))
     return found.select(*keys, F.col("id").alias("edge"), "other").distinct()
 
 
@@ -183,7 +183,7 @@ def cells_of_runs(runs: DataFrame) -> DataFrame:
 def tract_geometry(tracts: DataFrame, size: float) -> DataFrame:
     """Each tract's area and the number of cells whose centres it holds, null if none: geoid, area, n_cells."""
     counts = centre_runs(tracts, size, "geoid").groupBy("geoid").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n_cells"))
-    return tracts.select("geoid", polygon_area(F.col("polygon")).alias("area")).join(counts, "geoid", "left")
+    return tracts.select("geoid", polygon_area(F.col("polygon")).alias("area")).join(grid.apart(counts), "geoid", "left")
 
 
 class Grid(NamedTuple):
@@ -211,7 +211,7 @@ def build_grid(tracts: DataFrame, size: float, alloc: str = "area", check: bool
         cells = grid.allocate_by_area(pop, bridge, check=check)
     else:
         held = grid.allocate_by_center(pop, cells_of_runs(centre_runs(tracts, size, "geoid")))
-        cells = bridge.select("cell_id").distinct().join(held, "cell_id", "left").select("cell_id", F.coalesce("pop", F.lit(0.0)).alias("pop"))
+        cells = bridge.select("cell_id").distinct().join(grid.apart(held), "cell_id", "left").select("cell_id", F.coalesce("pop", F.lit(0.0)).alias("pop"))
     y = F.shiftright(F.col("cell_id") + (1 << 31), 32)
     return Grid(cells.select("cell_id", (F.col("cell_id") - F.shiftleft(y, 32)).alias("cell_x"), y.alias("cell_y"), "pop"), bridge, size)
 
@@ -275,7 +275,7 @@ def surface(cells: DataFrame, centres: DataFrame, ratios: DataFrame, step2: Data
     a few rows. Each run adds its value where it begins and takes it away behind
     its end; cells in no run have exactly 0.
     """
-    values = centres.join(F.broadcast(step2), "band").join(ratios.where("ratio > 0"), [*by, "coord_id"])
+    values = centres.join(F.broadcast(step2), "band").join(grid.apart(ratios.where("ratio > 0")), [*by, "coord_id"])
     value = F.col("w") * F.col("ratio")
     steps = F.inline(F.array(*[F.struct(at.alias("at"), (sign * value).alias("v"), F.lit(sign).alias("n")) for at, sign in ((F.col("first"), 1), (F.col("last") + 1, -1))]))
     steps = values.select(*by, "row", steps).groupBy(*by, "row", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
@@ -296,7 +296,7 @@ def provider_ratios(supply: DataFrame, populations: DataFrame, step1: DataFrame,
     demand = populations.join(F.broadcast(step1), "band").groupBy(*by, "coord_id").agg(F.sum(F.col("w") * F.col("pop")).alias("weighted_demand"))
     rows = supply.select("coord_id", "supply")
     rows = rows.crossJoin(F.broadcast(step1.select(*by).distinct())) if by else rows
-    rows = rows.join(demand, [*by, "coord_id"], "left").withColumn("weighted_demand", F.coalesce("weighted_demand", F.lit(0.0)))
+    rows = rows.join(grid.apart(demand), [*by, "coord_id"], "left").withColumn("weighted_demand", F.coalesce("weighted_demand", F.lit(0.0)))
     some = F.col("weighted_demand") > 0
     ratio = F.when(some, F.col("supply") / F.col("weighted_demand"))
     return rows.select("*", ratio.alias("ratio"), F.coalesce(ratio, F.lit(0.0)).alias("ratio_for_surface"), (~some).alias("zero_demand"), F.when(some, 0.0).otherwise(F.col("supply")).alias("excluded_supply"))
@@ -379,7 +379,7 @@ def seam_populations(current: DataFrame, former: DataFrame, size: float, within:
     for method, alloc in (("raw", "center"), ("mass_conserving", "area")):
         own = kept(build_grid(current, size, alloc, check=False).cells)
         inside = zonal_population(own, cover, "geoid")
-        moved = kept(former.select("geoid", "polygon").join(inside, "geoid", "left").withColumn("pop", F.coalesce("pop", F.lit(0.0))))
+        moved = kept(former.select("geoid", "polygon").join(grid.apart(inside), "geoid", "left").withColumn("pop", F.coalesce("pop", F.lit(0.0))))
         found[method] = (own, kept(build_grid(moved, size, alloc, check=False).cells))
         total[method] = [sum_of(c) for c in found[method]]
         if alloc == "area":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachwell.functions.geometry import POLYGON, polygon_area, polygon_centroid
-from reachwell.operators import coverage, geometry, raster
+from reachwell.operators import coverage, geometry, grid, raster
 from reachwell.plans.binding import Binding, origin
 from reachwell.plans.registry import query, r
 
@@ -126,7 +126,7 @@ def _access(b: Binding, check: bool = False, **more) -> raster.RasterAccess:
 def tract_geometry(b: Binding) -> DataFrame:
     shapes = tract_shapes(b)
     x, y = polygon_centroid(F.col("polygon"))
-    return raster.tract_geometry(shapes, SIZE).join(shapes.select("geoid", x.alias("x"), y.alias("y")), "geoid")
+    return raster.tract_geometry(shapes, SIZE).join(grid.apart(shapes.select("geoid", x.alias("x"), y.alias("y"))), "geoid")
 
 
 @query("SELECT geoid, cx AS cell_x, cy AS cell_y FROM tcent", TRACT_CELLS)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,6 +15,7 @@ from reachwell.functions import geometry as shapes
 from reachwell.functions.weights import incremental
 from reachwell.guards import CatchmentError
 from reachwell.operators import geometry, raster
+from reachwell.plans import shapes as plans
 from reachwell.plans.binding import Binding
 from reachwell.sources import readers
 
@@ -265,3 +267,13 @@ def test_rings_and_cumulative_bands_agree(spark, sf_dir):
     rings = nested.groupBy("coord_id", "geoid").agg(F.min("band").alias("band"), F.first("pop").alias("pop")).join(steps, "band").groupBy("coord_id").agg(F.sum(F.col("whole") * F.col("pop")).alias("r"))
     rows = cumulative.join(rings, "coord_id", "full").collect()
     assert len(rows) > 50 and all(r["d"] == pytest.approx(r["r"]) for r in rows)
+
+
+def test_cells_are_not_broadcast(spark, sf_dir):
+    """Cells come from small files, but are many."""
+    b = Binding(spark, sf_dir)
+    on = raster.build_grid(plans.tract_shapes(b), plans.SIZE, check=False)
+    found = raster.raster_access(on, raster.prepare_zones(plans.zone_shapes(b), plans.SIZE), b.supply, check=False)
+    for df in (on.cells, raster.build_grid(plans.tract_shapes(b), plans.SIZE, "center", check=False).cells, found.access, raster.crossings(plans.tract_shapes(b), "geoid")):
+        joins = re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().sparkPlan().toString())
+        assert not {"geoid", "cell_id"} & set(joins)
