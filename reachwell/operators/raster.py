@@ -26,6 +26,19 @@ from reachwell.storage import Store, kept
 
 #: Digits to which a covered fraction is exact; less is the noise of its sums.
 DIGITS = 12
+#: Pieces of edges that one task cuts, about.
+PIECES = 250_000
+
+
+def dealt(shapes: DataFrame, size: float) -> DataFrame:
+    """``shapes`` dealt to as many tasks as their pieces in cells of ``size`` ask for.
+
+    A small file of polygons, read by one task, makes many pieces; their number
+    is about that of the edges and of the sides that these cross.
+    """
+    pieces = 2 * polygon_length(F.col("polygon")) / size + 2 * F.size(F.flatten("polygon"))
+    n = shapes.agg(F.sum(F.when(guards.finite(pieces), pieces))).head()[0] or 0.0
+    return shapes.repartition(int(n // PIECES) + 1) if n > PIECES else shapes
 
 
 def edges(shapes: DataFrame, *keys: str) -> DataFrame:
@@ -68,7 +81,7 @@ def centre_runs(shapes: DataFrame, size: float, *keys: str) -> DataFrame:
     Low sides are inclusive and high ones exclusive, so polygons that share
     edges share no cell.
     """
-    rows = _rising(edges(shapes, *keys), *keys)
+    rows = _rising(edges(dealt(shapes, size), *keys), *keys)
     rows = rows.withColumn("row", F.explode(_span(_first_centre(F.col("ya"), size), _first_centre(F.col("yb"), size) - 1)))
     rows = rows.select(*keys, "row", _first_centre(_x_at((F.col("row") + 0.5) * size), size).alias("at"))
     rows = rows.groupBy(*keys, "row").agg(F.array_sort(F.collect_list("at")).alias("at"))  # a row's crossings with one polygon
@@ -85,7 +98,7 @@ def coverage_runs(shapes: DataFrame, size: float, *keys: str) -> DataFrame:
     fractions are running sums over the row's pieces, and between two cells
     with pieces they are constant.
     """
-    rows = _rising(edges(shapes, *keys), *keys)
+    rows = _rising(edges(dealt(shapes, size), *keys), *keys)
     rows = rows.withColumn("row", F.explode(F.sequence(F.floor(F.col("ya") / size), F.floor(F.col("yb") / size))))
     low, high = F.greatest(F.col("ya"), F.col("row") * size), F.least(F.col("yb"), (F.col("row") + 1) * size)
     rows = rows.where(high > low).select(*keys, "row", "down", (high - low).alias("dy"), _x_at(low).alias("xl"), _x_at(high).alias("xh"))

@@ -277,3 +277,12 @@ def test_cells_are_not_broadcast(spark, sf_dir):
     for df in (on.cells, raster.build_grid(plans.tract_shapes(b), plans.SIZE, "center", check=False).cells, found.access, raster.crossings(plans.tract_shapes(b), "geoid")):
         joins = re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().sparkPlan().toString())
         assert not {"geoid", "cell_id"} & set(joins)
+
+
+def test_shapes_are_dealt_by_their_pieces(spark, sf_dir, monkeypatch):
+    tracts = plans.tract_shapes(Binding(spark, sf_dir)).coalesce(1)
+    whole = {tuple(r) for r in raster.coverage_runs(tracts, plans.SIZE, "geoid").collect()}
+    monkeypatch.setattr(raster, "PIECES", 5_000)
+    tasks = raster.dealt(tracts, plans.SIZE).rdd.getNumPartitions()
+    assert tasks > 3 and raster.dealt(tracts, plans.SIZE / 2).rdd.getNumPartitions() > 1.4 * tasks
+    assert {tuple(r) for r in raster.coverage_runs(tracts, plans.SIZE, "geoid").collect()} == whole
