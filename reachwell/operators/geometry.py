@@ -109,9 +109,22 @@ def nearest(points: DataFrame, others: DataFrame, k: int, size: float, self_join
     Both have id, x and y. Each point looks into its own cell and the eight
     around it, which is complete up to a distance of ``size``. Points whose k-th
     neighbour is farther look again in cells of twice the size, until these are
-    as large as the extent of all points.
+    as large as the extent of all points. Of others at one place only the first
+    ``k`` by id can be among the nearest, and points at one place have the same.
     """
     k = min(k, others.count() - self_join)  # all that there are
+    if not self_join:
+        at = lambda df: df.select("id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
+        spots = kept(at(points).groupBy("x", "y").agg(F.min("id").alias("spot")))
+        ranks = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+        firsts = kept(at(others).withColumn("_n", ranks).where(F.col("_n") <= k).drop("_n"))
+        found = _nearest(spots.withColumnRenamed("spot", "id"), firsts, k, size, False)
+        return at(points).join(spots, ["x", "y"]).select("id", "spot").join(found.withColumnRenamed("id", "spot"), "spot").select("id", "other", "distance", "place")
+    return _nearest(points, others, k, size, True)
+
+
+def _nearest(points: DataFrame, others: DataFrame, k: int, size: float, self_join: bool) -> DataFrame:
+    """What :func:`nearest` finds, with every point and every other."""
     here = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     todo = points.select("id", "x", "y")
     ends = todo.select("x", "y").unionByName(others.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).head()[0]

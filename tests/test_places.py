@@ -287,3 +287,23 @@ def test_checked_tables_are_made_once(spark):
     rows = sites.schemes(places.withColumn("predicted_weight", 1 / F.col("n_locations")), direct)
     assert {r["location_id"]: r["empirical_model_weight"] for r in rows.collect()} == {"1::a": 0.75, "1::b": 0.25}
     assert made.value == 2
+
+
+def test_equal_places_are_searched_once(spark, monkeypatch):
+    rng, seen = random.Random(5), []
+    inner = geometry._nearest
+
+    def counted(points, others, *more):
+        seen.append((points.count(), others.count()))
+        return inner(points, others, *more)
+
+    monkeypatch.setattr(geometry, "_nearest", counted)
+    spots = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(12)]
+    points, others = [(i, *rng.choice(spots[:6])) for i in range(300)], [(f"{i:03}", *rng.choice(spots)) for i in range(200)]
+    found = geometry.nearest(*[spark.createDataFrame(rows, f"id {kind}, x double, y double") for rows, kind in ((points, "long"), (others, "string"))], 3, 2.0)
+    want = {}
+    for i, x, y in points:
+        for place, (d, o) in enumerate(sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), o) for o, u, v in others)[:3], 1):
+            want[i, place] = (o, d)
+    assert {(r["id"], r["place"]): (r["other"], r["distance"]) for r in found.collect()} == want
+    assert seen == [(6, 36)]
